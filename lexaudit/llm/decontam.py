@@ -13,12 +13,13 @@ blocks' matches are merged by document row.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import load, tune
 
@@ -80,6 +81,14 @@ def word_offsets(text: str) -> np.ndarray:
 _machines: dict[str, object] = {}
 
 
+def machine(key: str, told, window: int):
+    """The automaton of one broadcast block of items; a worker keeps one."""
+    if key not in _machines:
+        _machines.clear()
+        _machines[key] = automaton(windows(told.value, window))
+    return _machines[key]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All columns of docs plus n_words, n_hit, items (sorted ids as strings), spans and contaminated.
 
@@ -88,13 +97,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     judged each; an empty benchmark contaminates nothing. Columns of docs named like the new ones
     are replaced.
     """
-    from pyspark.sql import types as T
-
     spark = docs.sparkSession
     tune(spark)
     docs = docs.drop("n_words", "n_hit", "items", "spans", "contaminated")
     # one block of items at a time is in memory, on the driver as on the executors
-    parts, block, size = [], [], 0
+    parts, block, size, tag = [], [], 0, uuid.uuid4().hex
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         block.append((r.item_id, r.text))
         size += len(r.text) // 5 + 1
@@ -106,24 +113,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     fields = [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
 
     def run(batches):
-        # blocks one after the other over a batch: a machine is built once a worker while there is one block
+        # blocks one after the other over a batch: an automaton is built once a worker while there is one block
         for batch in batches:
             texts = batch.column("text").to_pylist()
             hits, items, n_words = [[] for _ in texts], [set() for _ in texts], [0] * len(texts)
-            for told in parts:
-                key = f"{told.id if hasattr(told, 'id') else id(told)}-{window}"
-                if key not in _machines:
-                    _machines.clear()
-                    _machines[key] = automaton(windows(told.value, window))
+            for k, told in enumerate(parts):
+                own = machine(f"{tag}-{k}", told, window)
                 for i, t in enumerate(texts):
-                    n_words[i], found = scan(t, _machines[key])
+                    n_words[i], found = scan(t, own)
                     for a, b, ids in found:
                         hits[i].append((a, b))
                         items[i].update(ids)
             n_hit, spans = [], []
-            for t, own in zip(texts, hits):
+            for t, found in zip(texts, hits):
                 runs: list[list[int]] = []
-                for a, b in sorted(own):
+                for a, b in sorted(found):
                     if runs and a <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], b)
                     else:

@@ -39,7 +39,7 @@ def gram_buckets(codes: np.ndarray, buckets: int = BUCKETS):
     for n in ORDERS:
         if len(x) < n:
             continue
-        h = np.full(len(x) - n + 1, np.uint32(n) * np.uint32(0x9E3779B1), np.uint32)
+        h = np.full(len(x) - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
         for k in range(n):
             h = (h ^ x[k : len(x) - n + 1 + k]) * np.uint32(0x85EBCA6B)
             h ^= h >> np.uint32(15)
