@@ -5,3 +5,5 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexaudit.llm import decontam, langid, packing
+
+STAGES: list = []
