@@ -1,11 +1,11 @@
 """Queries and SQL of this subpackage."""
 
-from . import decontam, langid, packing
+from . import decontam, jaccard, langid, packing
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (langid.op6_language_id, decontam.op8_benchmark_decontamination, packing.op9_best_fit_packing)}
+    return {f.__name__: f for f in (jaccard.op5_ngram_jaccard_join, langid.op6_language_id, decontam.op8_benchmark_decontamination, packing.op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict:
-    return {"op8_benchmark_decontamination": decontam.ORACLE}
+    return {"op5_ngram_jaccard_join": jaccard.ORACLE, "op8_benchmark_decontamination": decontam.ORACLE}

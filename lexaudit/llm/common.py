@@ -69,3 +69,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs whose results are in tables now."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
