@@ -46,9 +46,9 @@ class _Index(dict):
 
 
 class ChunkEncoder:
-    """Encodes batches of texts. limit: chunks kept before the memory is cleared."""
+    """Encodes batches of texts. limit: chunks in memory before those met once are forgotten."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -70,13 +70,28 @@ class ChunkEncoder:
         self.size, self.new = 0, []
         self.rest, self.first = _Index(self, True), _Index(self, False)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.len = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.len, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def shrink(self) -> None:
+        """Keep the chunks that came more than once, if they are few enough."""
+        keep = self.met[: self.size] > 1
+        if keep.sum() > self.limit // 2:
+            return self.clear()
+        at = np.flatnonzero(keep)
+        number = np.cumsum(keep) - 1
+        self.flat, lens = self.ids(at), self.len[at]
+        self.size, self.used = len(at), len(self.flat)
+        self.start, self.len, self.met = np.cumsum(lens) - lens, lens, np.ones(len(at), np.int64)
+        for old in (self.rest, self.first):
+            kept = [(c, number[i]) for c, i in old.items() if keep[i]]
+            old.clear()
+            old.update((c, int(i)) for c, i in kept)
 
     def _put(self, at: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + 1024, np.uint32)])
         while self.size > len(self.start):
-            self.start, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.len))
+            self.start, self.len, self.met = (np.concatenate([x, np.zeros(len(x) + 1024, np.int64)]) for x in (self.start, self.len, self.met))
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[at], self.len[at] = self.used + np.cumsum(lens) - lens, lens
         self.used += len(ids)
@@ -120,7 +135,7 @@ class ChunkEncoder:
 
         The numbers hold until the next call."""
         if self.size > self.limit:
-            self.clear()
+            self.shrink()
         index, counts = [], np.zeros(len(texts), np.int64)
         rest, first = self.rest.__getitem__, self.first.__getitem__
         for i, text in enumerate(texts):
@@ -138,7 +153,9 @@ class ChunkEncoder:
             counts[i] += len(got)
         if self.new:
             self._learn()
-        return np.concatenate(index) if index else np.zeros(0, np.int64), counts
+        all_ = np.concatenate(index) if index else np.zeros(0, np.int64)
+        self.met[: self.size] += np.bincount(all_, minlength=self.size)
+        return all_, counts
 
     def ids(self, index: np.ndarray) -> np.ndarray:
         return self.flat[ragged(self.start[index], self.len[index])]
