@@ -1,11 +1,11 @@
 """Queries and SQL of this subpackage."""
 
-from . import decontam, jaccard, langid, lines, packing
+from . import chat, decontam, jaccard, langid, lines, packing
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (lines.op1_line_dedup, jaccard.op5_ngram_jaccard_join, langid.op6_language_id, decontam.op8_benchmark_decontamination, packing.op9_best_fit_packing)}
+    return {f.__name__: f for f in (lines.op1_line_dedup, jaccard.op5_ngram_jaccard_join, langid.op6_language_id, decontam.op8_benchmark_decontamination, packing.op9_best_fit_packing, chat.op10_chat_formatting)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_line_dedup": lines.ORACLE, "op5_ngram_jaccard_join": jaccard.ORACLE, "op8_benchmark_decontamination": decontam.ORACLE}
+    return {"op1_line_dedup": lines.ORACLE, "op5_ngram_jaccard_join": jaccard.ORACLE, "op8_benchmark_decontamination": decontam.ORACLE, "op10_chat_formatting": chat.ORACLE}
