@@ -1,9 +1,64 @@
-"""A training-corpus pipeline of five stages over `documents`."""
+"""A training-corpus pipeline of five stages over `documents`.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+reread as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexaudit.llm import common, decontam, jaccard, langid, lines, packing
+
+#: Documents whose language is less sure than this go, as do those without a letter.
+LANGUAGE_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents without a letter and those whose language is in doubt."""
+    told = langid.predict(docs, langid.train(docs.where(~langid.held_out())))
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove lines that are near copies of an earlier line; documents that lose all text go."""
+    out = lines.dedup_lines(docs).where("text is not null and (text <> '' or size(removed) = 0)")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id."""
+    gone = jaccard.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontam.find_contamination(docs, common.load(spark, sf_dir, "benchmark"))
+    return found.where(~F.col("contaminated")).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Line dedup and language identification have no SQL; tests hold run() against a brute-force version.
+ORACLE_SQL = None
 
-from lexaudit.llm import decontam, langid, packing
 
-STAGES: list = []
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = common.Scratch(spark, "pipeline")
+    docs = common.load(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
