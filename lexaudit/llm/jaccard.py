@@ -190,10 +190,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     of = lambda c, x: found.select(F.col("node").alias(c), F.col("component").alias(x))
     rest = shared.join(of("doc_id", "c"), "doc_id", "left").join(of("pivot", "p"), "pivot", "left").select("key", "doc_id", "n", F.coalesce("c", "doc_id").alias("c"), F.coalesce("p", "pivot").alias("p"))
     rest = scratch.keep(rest.join(rest.where("c <> p").select("key").distinct(), "key", "left_semi").drop("p"), "rest")
-    x, y = (rest.select("key", F.col("doc_id").alias(i), F.col("n").alias(f"n_{i}"), F.col("c").alias(f"c_{i}")) for i in "ab")
+    # the sketches decide within the join, so it puts out no more than pairs that may well link
+    bits = [F.get("sketch", k).alias(f"k{k}") for k in range(DENSE)]
+    known = rest.join(info.select("doc_id", *bits), "doc_id")
+    x, y = (known.select(*(F.col(c).alias(f"{c}_{i}") for c in ("key", "doc_id", "n", "c", *(f"k{k}" for k in range(DENSE))))) for i in "ab")
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near).select("a", "b").distinct()
-    pairs = scratch.keep(_near_sketch(pairs, info).join(stars, ["a", "b"], "left_anti"), "pairs")
+    apart = sum((F.bit_count(F.col(f"k{k}_a").bitwiseXOR(F.col(f"k{k}_b"))) for k in range(DENSE)), F.lit(0))
+    pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("c_a") != F.col("c_b")) & near & (apart * 9 <= F.col("n_a") + F.col("n_b")))
+    pairs = scratch.keep(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     missing = ids(pairs).join(sets.select("doc_id"), "doc_id", "left_anti")
     sets = sets.unionByName(scratch.keep(_sets(docs, missing), "pair_sets")) if pairs.limit(1).count() else sets
     more = scratch.keep(_linked(pairs, sets), "pair_links")
