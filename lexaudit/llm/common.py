@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python worker; both bound its memory.
 BATCH_ROWS = 2000
@@ -77,3 +78,16 @@ def free(spark: SparkSession) -> None:
 
     gc.collect()
     spark._jvm.System.gc()
+
+
+def narrowed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs joined with the rows of `wanted` (doc_id, ...) by doc_id.
+
+    The ids are a table first, and Spark may then filter the scan of docs by a Bloom filter of them
+    (of bounded size, and only while they are few) before it shuffles texts.
+    """
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1b")
+    ids = Scratch(spark, "wanted").keep(wanted, "ids").where(F.col("doc_id") > -(1 << 63))
+    return docs.join(ids, "doc_id")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, free, load, tune
+from .common import Scratch, free, load, narrowed, tune
 from .components import components
 
 #: Edits (insertions, deletions, substitutions of characters) between near lines.
@@ -108,23 +108,22 @@ def _band(longs: list[np.ndarray], shorts: list[np.ndarray], edits: int) -> np.n
 
 def _identity(line: str) -> list:
     """Two hashes and the length of a line; equal for equal lines only (to 128 bits)."""
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.length(line).alias("len")]
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.col("len")]
 
 
 def _keys(edits: int) -> Column:
-    """Index keys (tag 0) and probe keys (tag 1) of column `line`."""
-    segments, out = edits + 1, []
+    """Keys of column `line`, of `len` characters: those of its own segments first (index and probe), then more probes."""
+    segments, own, more = edits + 1, [], []
     for delta in range(edits + 1):
-        size = F.length("line") - delta  # of the indexed line
+        size = F.col("len") - delta  # of the indexed line
         for i in range(segments):
             base, longer = F.floor(size / segments).cast("int"), (size % segments).cast("int")
             width = base + F.when(longer >= segments - i, 1).otherwise(0)
             start = base * i + F.greatest(F.lit(0), longer - (segments - i))
             for move in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
                 piece = F.substring(F.col("line"), (start + move + 1).cast("int"), width)
-                index = delta == 0 and move == 0  # an indexed segment probes as well
-                out.append(F.struct(F.xxhash64(size, F.lit(i), piece).alias("key"), F.lit(0 if index else 1).alias("probe")))
-    return F.array(*out)
+                (own if delta == 0 and move == 0 else more).append(F.xxhash64(size, F.lit(i), piece))
+    return F.array(*own, *more)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -134,10 +133,29 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, line_no, line of the wanted (doc_id, line_no)."""
     by = wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("line_nos"))
-    got = docs.select("doc_id", "text").join(by, "doc_id").select("doc_id", "line_nos", F.split("text", "\n").alias("parts"))
+    got = narrowed(docs.select("doc_id", "text"), by).select("doc_id", "line_nos", F.split("text", "\n").alias("parts"))
     return got.select("doc_id", F.explode(F.transform("line_nos", lambda k: F.struct(k.alias("line_no"), F.try_element_at("parts", k + 1).alias("line")))).alias("x")).select("doc_id", "x.line_no", "x.line").where("line is not null")
 
 
+def bigram_parity(lines: list[str]) -> np.ndarray:
+    """Parity of each line's character pairs in 64 bits: an edit flips 4 of them at most."""
+    out = np.zeros(len(lines), np.int64)
+    for i, t in enumerate(lines):
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        h = (c[:-1] * np.uint32(0x9E3779B1)) ^ (c[1:] * np.uint32(0x85EBCA6B))
+        flips = np.bincount(((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(26), minlength=64) & 1
+        out[i] = np.packbits(flips.astype(np.uint8)).view(np.int64)[0]
+    return out
+
+
+def _parities(texts: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line_no"), pa.array(bigram_parity(batch.column("line").to_pylist()))], ["doc_id", "line_no", "parity"])
+
+    return texts.select("doc_id", "line_no", "line").mapInArrow(run, "doc_id long, line_no int, parity long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -164,11 +182,12 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_exact: int = MIN_EXA
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(spark, "lines")
-    lines = lines_of(docs).where(F.length("line") >= min_exact).select("doc_id", "line_no", *_identity("line"))
-    classes = scratch.keep(lines.groupBy("h1", "h2", "len").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "classes")
-
-    near = _texts(docs, classes.where(F.col("len") >= min_near).select("first.doc_id", "first.line_no"))
-    keyed = near.where(F.length("line") >= min_near).select("doc_id", "line_no", F.explode(_keys(edits)).alias("k")).select("k.key", "k.probe", "doc_id", "line_no")
+    # one shuffle for classes and keys; copies of a line meet before it
+    lines = lines_of(docs).withColumn("len", F.length("line")).where(F.col("len") >= min_exact).select("doc_id", "line_no", *_identity("line"), F.when(F.col("len") >= min_near, _keys(edits)).alias("keys"))
+    classes = lines.groupBy("h1", "h2", "len").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("keys", ignorenulls=True).alias("keys"))
+    classes = scratch.keep(classes, "classes")
+    free(spark)
+    keyed = classes.where("first.doc_id is not null").select("first.doc_id", "first.line_no", F.posexplode("keys").alias("at", "key")).select("key", (F.col("at") > edits).cast("int").alias("probe"), "doc_id", "line_no")
     w = W.partitionBy("key").orderBy("probe", "doc_id", "line_no")
     run = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = keyed.withColumns({"p_probe": F.first("probe").over(run), "p_doc": F.first("doc_id").over(run), "p_line": F.first("line_no").over(run), "next": F.lead("doc_id").over(w)})
@@ -192,8 +211,10 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_exact: int = MIN_EXA
     rest = rest.withColumn("pivot", _node("p_doc", "p_line")).join(found.select(F.col("node").alias("pivot"), F.col("component").alias("p")), "pivot", "left")
     rest = rest.select("key", "probe", "doc_id", "line_no", F.coalesce("c", "node").alias("c"), F.coalesce("p", "pivot").alias("p"))
     rest = scratch.keep(rest.join(rest.where("c <> p").select("key").distinct(), "key", "left_semi").drop("p"), "rest")
-    x = rest.where("probe = 0").select("key", F.col("doc_id").alias("p_doc"), F.col("line_no").alias("p_line"), F.col("c").alias("c_p"))
-    pairs = x.join(rest, "key").where("c <> c_p").select(pick("p_doc", "doc_id").alias("a_doc"), pick("p_line", "line_no").alias("a_line"), pick("doc_id", "p_doc").alias("b_doc"), pick("line_no", "p_line").alias("b_line")).distinct()
+    # parities decide within the join, so it puts out no more than pairs that may well link
+    rest = rest.join(_parities(texts), ["doc_id", "line_no"])
+    x = rest.where("probe = 0").select("key", F.col("doc_id").alias("p_doc"), F.col("line_no").alias("p_line"), F.col("c").alias("c_p"), F.col("parity").alias("parity_p"))
+    pairs = x.join(rest, "key").where((F.col("c") != F.col("c_p")) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_p"))) <= 4 * edits)).select(pick("p_doc", "doc_id").alias("a_doc"), pick("p_line", "line_no").alias("a_line"), pick("doc_id", "p_doc").alias("b_doc"), pick("line_no", "p_line").alias("b_line")).distinct()
     pairs = scratch.keep(pairs.join(stars, ["a_doc", "a_line", "b_doc", "b_line"], "left_anti"), "pairs")
     if pairs.limit(1).count():
         more = scratch.keep(_verified(pairs, texts, edits), "pair_links")  # all ends of pairs are ends of stars
@@ -204,7 +225,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_exact: int = MIN_EXA
     # classes whose lines are not all first
     head = classes.join(found.select(F.col("node").alias("first"), "component"), "first", "left").withColumn("head", F.coalesce("component", "first"))
     head = scratch.keep(head.where((F.col("copies") > 1) | (F.col("head") != F.col("first"))).select("h1", "h2", "len", "head"), "heads")
-    gone = lines.join(head, ["h1", "h2", "len"]).where(~_node("doc_id", "line_no").eqNullSafe(F.col("head")))
+    gone = lines.drop("keys").join(head, ["h1", "h2", "len"]).where(~_node("doc_id", "line_no").eqNullSafe(F.col("head")))
     return scratch.keep(gone.select("doc_id", "line_no", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line")), "repeated")
 
 
