@@ -21,7 +21,6 @@ END_ID = 2
 #: A space between two whites, or between a white and the end: no cut there.
 _UNSAFE = re.compile(r" (?<=\s )(?:\s|\Z)")
 _SAFE = re.compile(r" (?=\S)|(?<=\S) ")
-_WHITE = re.compile(r"\s")
 
 
 def default_path() -> str:
@@ -56,9 +55,11 @@ class ChunkEncoder:
         if hasattr(self.tok.model, "_resize_cache"):
             self.tok.model._resize_cache(0)  # every chunk comes once
         self.marks = {m: self.tok.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
-        words = sorted(self.tok.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
-        self.leads = np.zeros(words[-1][1] + 1, bool)
-        self.leads[[i for w, i in words if w.startswith("Ġ")]] = True
+        self.vocabulary = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
+        # how byte-level models write bytes: printable ones as themselves, the others from 256 on
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        other = [b for b in range(256) if b not in plain]
+        self.table = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
         state = __import__("json").loads(self.tok.to_str())
         pre = state.get("pre_tokenizer") or {}
         #: Chunks are exact for this kind of splitting only; others are encoded text by text.
@@ -98,37 +99,29 @@ class ChunkEncoder:
 
     def _learn(self) -> None:
         base, new, self.new = self.size - len(self.new), self.new, []
-        plain, odd, marked = [], [], []
+        # letters alone, or letters and a mark, split in one way: the model gets them directly
+        ids, lens, at, odd = [], [], [], []
+        encode, marks, table = self.tok.model.tokenize, self.marks, self.table
         for i, (spaced, chunk) in enumerate(new):
-            if not (spaced and chunk) or _WHITE.search(chunk):
+            tail = ()
+            if spaced and not chunk.isalpha():
+                tail = marks.get(chunk[-1:], ())
+                chunk = chunk[:-1] if tail else ""
+            if not spaced or not chunk.isalpha():
                 odd.append(i)
-            elif chunk[-1] in self.marks and chunk[-2:-1].isalnum() and self.rest.get(chunk[:-1], base + i) != base + i:
-                marked.append(i)  # a known word and a mark: the splitting cuts between them
-            else:
-                plain.append(i)
-        for k in range(0, len(plain), 4096):
-            some = plain[k : k + 4096]
-            ids = np.asarray(self.tok.encode_batch_fast([" " + " ".join(new[i][1] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
-            cut = np.flatnonzero(self.leads[ids])
-            if len(cut) == len(some) and cut[0] == 0:
-                self._put(base + np.asarray(some), ids, np.diff(np.append(cut, len(ids))))
-            else:
-                odd += some
+                continue
+            got = [t.id for t in encode("Ġ" + (chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(table)))]
+            got += tail
+            ids += got
+            lens.append(len(got))
+            at.append(i)
+        if at:
+            self._put(base + np.asarray(at), np.asarray(ids, np.uint32), np.asarray(lens, np.int64))
         for k in range(0, len(odd), 1024):
             some = odd[k : k + 1024]
             got = [e.ids for e in self.tok.encode_batch_fast([(" " if new[i][0] else "") + new[i][1] for i in some], add_special_tokens=False)]
             lens = np.asarray([len(x) for x in got], np.int64)
             self._put(base + np.asarray(some), np.asarray([y for x in got for y in x], np.uint32), lens)
-        for mark, tail in self.marks.items():
-            if some := [i for i in marked if new[i][1][-1] == mark]:
-                stems = np.asarray([self.rest[new[i][1][:-1]] for i in some])
-                lens = self.len[stems] + len(tail)
-                ids = np.empty(int(lens.sum()), np.uint32)
-                ends = np.cumsum(lens)
-                ids[ragged(ends - lens, lens - len(tail))] = self.ids(stems)
-                for k, t in enumerate(tail):
-                    ids[ends - len(tail) + k] = t
-                self._put(base + np.asarray(some), ids, lens)
 
     def chunks(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Chunk numbers of all texts one after the other, and how many each text has. Null is empty.

@@ -30,75 +30,88 @@ from .common import Scratch, load, ragged, tune
 
 SHARD_TOKENS = 2_000_000
 ROUNDS, RULES_A_ROUND, LEAST = 6, 2000, 8
+#: Symbols whose pairs are counted in a round.
+DENSE = 2048
 
 SHARD = "shard int, part long, base long, wide boolean, rules binary, lengths binary, symbols binary, doc_ids binary, doc_null binary, doc_symbols binary, doc_tokens binary"
 
 
 def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, rounds: int = ROUNDS, most: int = RULES_A_ROUND, least: int = LEAST):
-    """(symbols, symbols of each document, rules, expansion length of each rule)."""
+    """(symbols, symbols of each document, rules, expansion length of each rule).
+
+    A pair is no more frequent than either symbol, so a round counts pairs of the DENSE most
+    frequent symbols in a table; documents have no empty sequence, as each ends with an end id.
+    """
     seq, ends = ids.astype(np.uint32), np.cumsum(doc_tokens)
-    rules, lengths = [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.uint32)]
-    size = base
-    span = np.ones(base, np.uint32)
+    rules, size, span = [np.zeros((0, 2), np.uint32)], base, np.ones(base, np.uint32)
+    last = (1 << 16) if base < 1 << 16 else 1 << 31
     for _ in range(rounds):
-        if len(seq) < 2 or size >= 1 << 16 and base < 1 << 16:
+        if len(seq) < 2 or size >= last:
+            break
+        often = np.bincount(seq, minlength=size)
+        top = np.argsort(-often, kind="stable")[:DENSE]
+        top = top[often[top] >= least]
+        if not len(top):
             break
-        shift = np.uint64(32) if size > 1 << 16 else np.uint32(16)
-        key = (seq[:-1].astype(shift.dtype) << shift) | seq[1:]
-        inside = np.ones(len(seq) - 1, bool)
-        inside[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(seq))] - 1] = False
-        ordered = np.sort(key[inside])
-        at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.append(at, len(ordered)))
-        often = np.flatnonzero(count >= least)
-        often = often[np.argsort(-count[often], kind="stable")][: 8 * most]
-        left, right, taken = set(), set(), []
-        room = min(most, (1 << 16) - size if base < 1 << 16 else most)
-        for k in often:
-            if len(taken) >= room:
-                break
-            pair = int(ordered[at[k]])
-            a, b = pair >> int(shift), pair & ((1 << int(shift)) - 1)
-            if a != b and a not in right and b not in left:
+        place = np.full(size, DENSE, np.int32)
+        place[top] = np.arange(len(top))
+        at = place[seq]
+        code = at[:-1] * DENSE + at[1:]
+        off = (at[:-1] == DENSE) | (at[1:] == DENSE)
+        off[ends[:-1] - 1] = True  # no pair across documents
+        code[off] = DENSE * DENSE
+        count = np.bincount(code, minlength=DENSE * DENSE + 1)
+        count[-1] = 0
+        count[:: DENSE + 1] = 0  # a symbol with itself could overlap
+        some = np.flatnonzero(count >= least)
+        some = some[np.argsort(-count[some], kind="stable")][: 4 * most]
+        left, right, taken, room = set(), set(), [], min(most, last - size)
+        for pair in some.tolist():
+            a, b = divmod(pair, DENSE)
+            if a not in right and b not in left:
                 left.add(a)
                 right.add(b)
                 taken.append(pair)
+                if len(taken) == room:
+                    break
         if not taken:
             break
-        taken = np.sort(np.array(taken, key.dtype))
-        starts = np.zeros(size, bool)
-        starts[list(left)] = True
-        maybe = np.flatnonzero(inside & starts[seq[:-1]])
-        k = np.minimum(np.searchsorted(taken, key[maybe]), len(taken) - 1)
-        hit = taken[k] == key[maybe]
-        where, rule = maybe[hit], k[hit]
-        pairs = np.stack([taken >> shift, taken & taken.dtype.type((1 << int(shift)) - 1)], axis=1).astype(np.uint32)
+        rule = np.full(DENSE * DENSE + 1, -1, np.int32)
+        rule[taken] = np.arange(len(taken))
+        hit = rule[code]
+        where = np.flatnonzero(hit >= 0)
+        taken = np.array(taken)
+        pairs = np.stack([top[taken // DENSE], top[taken % DENSE]], axis=1).astype(np.uint32)
         rules.append(pairs)
         span = np.concatenate([span, span[pairs[:, 0]] + span[pairs[:, 1]]])
-        lengths.append(span[size:])
-        seq[where] = size + rule
+        seq[where] = (size + hit[where]).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        ends = np.cumsum(keep)[ends - 1] if len(ends) and ends[-1] else ends
+        ends = np.cumsum(keep)[ends - 1]
         seq = seq[keep]
         size += len(taken)
-    # a document always has its end id, so none is empty
-    return seq, np.diff(np.concatenate([[0], ends])), np.concatenate(rules), np.concatenate(lengths)
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids of a run of symbols; a pass undoes a round."""
-    seq = symbols.astype(np.uint32)
-    while True:
-        is_rule = seq >= base
-        if not is_rule.any():
-            return seq
-        at = np.cumsum(1 + is_rule) - (1 + is_rule)
-        out = np.empty(len(seq) + int(is_rule.sum()), np.uint32)
-        out[at[~is_rule]] = seq[~is_rule]
-        pair = rules[seq[is_rule] - base]
-        out[at[is_rule]], out[at[is_rule] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
+    return seq, np.diff(np.concatenate([[0], ends])), np.concatenate(rules), span[base:]
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids of a run of symbols: the rules are expanded once, in their order, then gathered."""
+    if not len(rules):
+        return symbols.astype(np.uint32)
+    made: list[np.ndarray] = []
+    own = lambda s: made[s - base] if s >= base else np.array([s], np.uint32)
+    for a, b in rules.tolist():
+        made.append(np.concatenate([own(a), own(b)]))
+    flat = np.concatenate(made)
+    lens = np.array([len(x) for x in made])
+    starts = np.cumsum(lens) - lens
+    symbols = symbols.astype(np.int64)
+    is_rule = symbols >= base
+    which = np.where(is_rule, symbols - base, 0)
+    n = np.where(is_rule, lens[which], 1)
+    at = ragged(np.where(is_rule, starts[which], 0), n)
+    out = flat[at]
+    out[(np.cumsum(n) - n)[~is_rule]] = symbols[~is_rule]
+    return out
 
 
 def unpack(row: dict) -> dict:
@@ -133,7 +146,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     def run(batches):
         enc, task, part = encoder(file), TaskContext.get().partitionId(), 0
-        base = len(enc.leads)
+        base = enc.vocabulary
         ids, counts, names, held = [], [], [], 0
 
         def shard():
