@@ -124,14 +124,13 @@ def spelling_key(c: Column) -> Column:
 
 
 def strip_affixes(c: Column) -> Column:
-    """The first suffix, then the first prefix, whose removal leaves three characters or more."""
-
-    fits = lambda w, parts, has: F.get(F.filter(F.array(*map(F.lit, parts)), lambda p: has(w, p) & (F.length(w) - F.length(p) >= 3)), F.lit(0))
-    # arrays of one value bind intermediate results, so the expression stays small
-    stem = F.transform(F.array(F.lower(c)), lambda w: F.struct(w.alias("w"), F.coalesce(F.length(fits(w, SUFFIXES, F.endswith)), F.lit(0)).alias("k")))
-    stem = F.transform(stem, lambda x: F.substr(x.w, F.lit(1), F.length(x.w) - x.k))
-    stem = F.transform(stem, lambda w: F.struct(w.alias("w"), F.coalesce(F.length(fits(w, PREFIXES, F.startswith)), F.lit(0)).alias("k")))
-    return F.get(F.transform(stem, lambda x: F.substr(x.w, x.k + 1)), F.lit(0))
+    """The first suffix, then the first prefix, whose removal leaves three characters or more.
+
+    In both lists an affix stands before those it ends (or begins) with, so the patterns, which try
+    the longest suffix first and prefixes in order, find the same one.
+    """
+    stem = F.regexp_replace(F.lower(c), rf"^(.{{3,}}?)(?:{'|'.join(SUFFIXES)})\z", "$1")
+    return F.regexp_replace(stem, rf"^(?:{'|'.join(PREFIXES)})(.{{3,}})\z", "$1")
 
 
 def line_core(line: Column) -> Column:

@@ -155,6 +155,8 @@ def all_variants(docs: DataFrame, glossary_pairs: list | None = None, check_unde
     """
     docs = K.located(docs)
     toks = K.tokens(docs)
+    if checks is None or len(checks & {"case", "hyphenation", "identifier", "spelling", "acronym", "phrase", "reorder", "fuzzy"}) > 1:
+        toks = toks.persist()  # several detectors read it; a lost part is made again
     vocab, grams = K.vocabulary(toks), K.bigrams(toks)
     made = {
         "case": lambda: case(toks),
