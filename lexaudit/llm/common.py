@@ -63,6 +63,21 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lens), lens)
 
 
+def slices(batch, columns: list[str], most: int = 4 << 20):
+    """Slices of an Arrow batch whose named binary or string columns have about so many bytes, one row at least."""
+    import pyarrow.compute as pc
+
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    at, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > at and total + n > most:
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit (a multiply-xorshift finaliser)."""
     h = h ^ (h >> np.uint64(32))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import by_bytes
-from .common import Scratch, free, load, mix, tune
+from .common import Scratch, free, load, mix, narrowed, slices, tune
 from .components import components
 from .shingles import shingle_sets
 
@@ -134,14 +134,14 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for a, b in by_bytes(texts):
                 yield pa.RecordBatch.from_arrays([own[a:b], pa.array([h.tobytes() for h in shingle_sets(texts[a:b])], pa.binary())], ["doc_id", "h"])
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, h binary")
+    return narrowed(docs.select("doc_id", "text"), ids).select("doc_id", "text").mapInArrow(run, "doc_id long, h binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose sets are similar enough, compared exactly."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, ["h_a", "h_b"])):
             ok = []
             for x, y in zip(batch.column("h_a").to_pylist(), batch.column("h_b").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, free, load, narrowed, tune
+from .common import Scratch, free, load, narrowed, slices, tune
 from .components import components
 
 #: Edits (insertions, deletions, substitutions of characters) between near lines.
@@ -150,7 +150,7 @@ def bigram_parity(lines: list[str]) -> np.ndarray:
 
 def _parities(texts: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, ["line"])):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line_no"), pa.array(bigram_parity(batch.column("line").to_pylist()))], ["doc_id", "line_no", "parity"])
 
     return texts.select("doc_id", "line_no", "line").mapInArrow(run, "doc_id long, line_no int, parity long")
@@ -158,7 +158,7 @@ def _parities(texts: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, ["x", "y"])):
             ok = within(batch.column("x").to_pylist(), batch.column("y").to_pylist(), edits)
             yield batch.select(["a_doc", "a_line", "b_doc", "b_line"]).filter(pa.array(ok, pa.bool_()))
 
