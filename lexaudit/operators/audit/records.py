@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ...functions.text import WS, trim
 
@@ -58,14 +59,14 @@ class Limits:
 
 
 def _normal(form: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(s):
         return s.map(lambda t: None if t is None else unicodedata.normalize(form, t), na_action="ignore")
 
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _flat(s):
     def one(t):
         t = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", t).lower())
