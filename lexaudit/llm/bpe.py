@@ -2,7 +2,8 @@
 
 A text is cut before those spaces where the tokenizer's own splitting always cuts: a space next to
 a non-space on either side. The ids of a text are then the concatenation of its chunks' ids, so a
-worker calls the tokenizer for chunks it has not met and gathers the rest from memory.
+worker calls the tokenizer for chunks it has not met and gathers the rest from memory. A newline
+between non-spaces is a token of its own and cuts as well.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ DEFAULT_FILE = "byte_bpe_50k.json"
 END_ID = 2
 #: A space between two whites, or between a white and the end: no cut there.
 _UNSAFE = re.compile(r" (?<=\s )(?:\s|\Z)")
+#: A newline beside other white space, or at the end: no cut before it.
+_NEWLINE = re.compile(r"\n(?:(?<=\s\n)|(?=\s|\Z))")
+#: Stands for a blank that is a newline, in texts that don't hold it.
+_MARK = "\x00"
 _SAFE = re.compile(r" (?=\S)|(?<=\S) ")
 
 
@@ -54,6 +59,7 @@ class ChunkEncoder:
         self.tok.encode_special_tokens = True
         if hasattr(self.tok.model, "_resize_cache"):
             self.tok.model._resize_cache(0)  # every chunk comes once
+        self.newline = self.tok.encode("\n", add_special_tokens=False).ids
         self.marks = {m: self.tok.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
         self.vocabulary = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
         # how byte-level models write bytes: printable ones as themselves, the others from 256 on
@@ -101,28 +107,41 @@ class ChunkEncoder:
         base, new, self.new = self.size - len(self.new), self.new, []
         # letters alone, or letters and a mark, split in one way: the model gets them directly
         ids, lens, at, odd = [], [], [], []
-        encode, marks, table = self.tok.model.tokenize, self.marks, self.table
+        encode, marks, table, newline = self.tok.model.tokenize, self.marks, self.table, self.newline
         for i, (spaced, chunk) in enumerate(new):
-            tail = ()
-            if spaced and not chunk.isalpha():
-                tail = marks.get(chunk[-1:], ())
-                chunk = chunk[:-1] if tail else ""
-            if not spaced or not chunk.isalpha():
+            if not spaced:
                 odd.append(i)
                 continue
-            got = [t.id for t in encode("Ġ" + (chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(table)))]
-            got += tail
-            ids += got
-            lens.append(len(got))
+            head, tail, word = "Ġ", None, chunk
+            if not word.isalpha():
+                if word[:1] == _MARK:
+                    head, word = "", word[1:]
+                tail = marks.get(word[-1:])
+                if tail:
+                    word = word[:-1]
+                if not word.isalpha():
+                    odd.append(i)
+                    continue
+            before = len(ids)
+            if not head:
+                ids += newline
+            ids += [t.id for t in encode(head + (word if word.isascii() else word.encode().decode("latin-1").translate(table)))]
+            if tail:
+                ids += tail
+            lens.append(len(ids) - before)
             at.append(i)
         if at:
             self._put(base + np.asarray(at), np.asarray(ids, np.uint32), np.asarray(lens, np.int64))
         for k in range(0, len(odd), 1024):
             some = odd[k : k + 1024]
-            got = [e.ids for e in self.tok.encode_batch_fast([(" " if new[i][0] else "") + new[i][1] for i in some], add_special_tokens=False)]
+            got = [e.ids for e in self.tok.encode_batch_fast([self._shown(*new[i]) for i in some], add_special_tokens=False)]
             lens = np.asarray([len(x) for x in got], np.int64)
             self._put(base + np.asarray(some), np.asarray([y for x in got for y in x], np.uint32), lens)
 
+    @staticmethod
+    def _shown(spaced: bool, chunk: str) -> str:
+        return chunk if not spaced else "\n" + chunk[1:] if chunk[:1] == _MARK else " " + chunk
+
     def chunks(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Chunk numbers of all texts one after the other, and how many each text has. Null is empty.
 
@@ -134,7 +153,11 @@ class ChunkEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.chunked:
+            if self.chunked and _MARK in text:
+                parts = [text]
+            elif self.chunked:
+                if "\n" in text and not _NEWLINE.search(text):
+                    text = text.replace("\n", " " + _MARK)
                 parts = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
             else:
                 parts = [text]

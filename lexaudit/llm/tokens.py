@@ -29,7 +29,7 @@ from .bpe import END_ID, by_bytes, default_path, encoder
 from .common import Scratch, load, ragged, tune
 
 SHARD_TOKENS = 2_000_000
-ROUNDS, RULES_A_ROUND, LEAST = 6, 2000, 8
+ROUNDS, RULES_A_ROUND, LEAST = 4, 2500, 8
 #: Symbols whose pairs are counted in a round.
 DENSE = 2048
 

@@ -47,7 +47,7 @@ def corpus():
 
 def test_chunks_encode_as_whole_texts():
     rng = random.Random(1)
-    parts = [" ", "  ", "\n", "\t", "a", "b's", "'re", "1", "é", " ", "\x1c", ".", "the", "<|endoftext|>", "漢", " \n"]
+    parts = [" ", "  ", "\n", "\t", "a", "b's", "'re", "1", "é", " ", "\x1c", ".", "the", "<|endoftext|>", "漢", " \n", "Bc", "\x00"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)] + [None, ""]
     enc = bpe.ChunkEncoder(bpe.default_path(), limit=3000)
     for k in range(0, len(texts), 1000):
