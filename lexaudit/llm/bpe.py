@@ -50,9 +50,9 @@ class _Index(dict):
 
 
 class ChunkEncoder:
-    """Encodes batches of texts. limit: chunks in memory before those met once are forgotten."""
+    """Encodes batches of texts. limit: chunks in memory before most are forgotten; kept: those that stay."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000, kept: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -70,7 +70,7 @@ class ChunkEncoder:
         pre = state.get("pre_tokenizer") or {}
         #: Chunks are exact for this kind of splitting only; others are encoded text by text.
         self.chunked = state.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.limit = limit
+        self.limit, self.kept = limit, kept
         self.clear()
 
     def clear(self) -> None:
@@ -80,19 +80,20 @@ class ChunkEncoder:
         self.start, self.len, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def shrink(self) -> None:
-        """Keep the chunks that came more than once, if they are few enough."""
-        keep = self.met[: self.size] > 1
-        if keep.sum() > self.limit // 2:
-            return self.clear()
-        at = np.flatnonzero(keep)
-        number = np.cumsum(keep) - 1
-        self.flat, lens = self.ids(at), self.len[at]
-        self.size, self.used = len(at), len(self.flat)
-        self.start, self.len, self.met = np.cumsum(lens) - lens, lens, np.ones(len(at), np.int64)
-        for old in (self.rest, self.first):
-            kept = [(c, number[i]) for c, i in old.items() if keep[i]]
-            old.clear()
-            old.update((c, int(i)) for c, i in kept)
+        """Keep the most frequent of the chunks that came more than once."""
+        at = np.flatnonzero(self.met[: self.size] > 1)
+        if len(at) > self.kept:
+            at = at[np.argsort(-self.met[at], kind="stable")[: self.kept]]
+        number = np.full(self.size, -1)
+        number[at] = np.arange(len(at))
+        flat, lens, met = self.ids(at), self.len[at], self.met[at] // 2
+        old = [(index, [(c, n) for c, i in index.items() if (n := int(number[i])) >= 0]) for index in (self.rest, self.first)]
+        self.size, self.new = len(at), []
+        self.rest, self.first = _Index(self, True), _Index(self, False)
+        for index, (_, items) in zip((self.rest, self.first), old):
+            index.update(items)
+        self.flat, self.used = flat, len(flat)
+        self.start, self.len, self.met = np.cumsum(lens) - lens, lens, met
 
     def _put(self, at: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):

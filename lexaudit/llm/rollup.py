@@ -85,6 +85,7 @@ def count_tokens(docs: DataFrame, version: str = "byte_bpe_50k", tokenizer: str
                     n.append(int(lens[at : at + c].sum()))
                     at += c
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source"), batch.column("lang"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64()), pa.array([len(t) if t else 0 for t in texts], pa.int64())], ["doc_id", "source", "lang", "version", "tokens", "chars"])
+        enc.shrink()  # the worker may wait or do other work next
 
     return docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(run, "doc_id long, source string, lang string, version string, tokens long, chars long")
 

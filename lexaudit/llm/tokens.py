@@ -181,6 +181,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                     held = 0
         if counts:
             yield shard()
+        enc.shrink()  # the worker may wait or do other work next
 
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, SHARD).write.mode("overwrite").parquet(path)
