@@ -1,4 +1,4 @@
-"""Patterns and scalar functions of the terminology checker, as column expressions.
+"""Patterns and scalar functions of the text checks, as column expressions.
 
 Patterns are written so that Java's and RE2's engines read them alike: white space is one explicit
 class (Java's \\s lacks the no-break space), ends are \\z, and ASCII word edges are spelled out where

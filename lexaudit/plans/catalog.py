@@ -1,4 +1,4 @@
-"""Queries of the terminology checker and the editorial audit, with their SQL."""
+"""Queries of the text checks and the editorial audit, with their SQL."""
 
 from __future__ import annotations
 

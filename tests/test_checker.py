@@ -1,4 +1,4 @@
-"""The terminology checker on small manuscripts, and its building blocks on random input."""
+"""The text checks on small manuscripts, and its building blocks on random input."""
 
 import random
 import re
