@@ -169,7 +169,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = scratch.keep(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     copies = full.join(classes.where("copies > 1").drop("copies"), ["s1", "s2", "n"]).where("doc_id <> rep").select("doc_id")
     single = full.where("doc_id is not null").join(copies, "doc_id", "left_anti")
-    info = single.select("doc_id", "n", "sketch")
+    info = scratch.keep(single.select("doc_id", "n", "sketch"), "info")
 
     # buckets: a running first needs no buffer, however many classes share a bucket
     w = W.partitionBy("key").orderBy("doc_id")
