@@ -52,7 +52,7 @@ class _Index(dict):
 class ChunkEncoder:
     """Encodes batches of texts. limit: chunks in memory before most are forgotten; kept: those that stay."""
 
-    def __init__(self, path: str, limit: int = 400_000, kept: int = 100_000):
+    def __init__(self, path: str, limit: int = 600_000, kept: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
