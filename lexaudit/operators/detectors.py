@@ -153,7 +153,7 @@ def all_variants(docs: DataFrame, glossary_pairs: list | None = None, check_unde
 
     Null texts have no findings; documents need distinct ids; other columns are ignored.
     """
-    docs = K.located(docs)
+    docs, raw = K.located(docs), K.plain(docs)  # patterns of the raw text need no shuffle of it
     toks = K.tokens(docs)
     if checks is None or len(checks & {"case", "hyphenation", "identifier", "spelling", "acronym", "phrase", "reorder", "fuzzy"}) > 1:
         toks = toks.persist()  # several detectors read it; a lost part is made again
@@ -163,8 +163,8 @@ def all_variants(docs: DataFrame, glossary_pairs: list | None = None, check_unde
         "hyphenation": lambda: hyphenation(vocab),
         "identifier": lambda: identifier(toks),
         "spelling": lambda: spelling(vocab),
-        "glossary": lambda: glossary(docs, glossary_pairs),
-        "acronym": lambda: acronym(docs).unionByName(undefined_acronyms(toks, docs)) if check_undefined else acronym(docs),
+        "glossary": lambda: glossary(raw, glossary_pairs),
+        "acronym": lambda: acronym(raw).unionByName(undefined_acronyms(toks, raw)) if check_undefined else acronym(raw),
         "phrase": lambda: phrase(grams),
         "reorder": lambda: reorder(grams),
         "fuzzy": lambda: fuzzy(vocab, sensitivity),
@@ -176,10 +176,10 @@ def all_variants(docs: DataFrame, glossary_pairs: list | None = None, check_unde
     return out
 
 
-def occurrences(docs: DataFrame, variants: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, variants: DataFrame, glossary_pairs: list | None = None) -> DataFrame:
     """doc_id, category, key, text, start, end of what each finding points at."""
-    docs = K.located(docs)
-    toks = K.tokens(docs)
+    raw = K.plain(docs)
+    toks = K.tokens(K.located(docs)).persist()
     grams = K.bigrams(toks)
     keys = lambda *names: variants.where(F.col("category").isin(*names)).select("doc_id", "category", "key").distinct()
     # the forms that are whole tokens, by the lower-case word
@@ -190,12 +190,12 @@ def occurrences(docs: DataFrame, variants: DataFrame) -> DataFrame:
     by_form = forms.where("category = 'identifier'").join(toks.withColumn("form", F.col("text")), ["doc_id", "form"]).select(out)
     cases = keys("case").join(toks.where("usable").withColumnRenamed("lower", "key"), ["doc_id", "key"]).select(out)
     capital = keys("acronym").where(F.col("key").endswith("-undefined")).withColumn("text", F.substring_index("key", "-undefined", 1)).join(toks, ["doc_id", "text"]).select(out)
-    defined = keys("acronym").join(acronym_definitions(docs).withColumnRenamed("acronym", "key"), ["doc_id", "key"]).withColumn("text", F.col("key")).select(out)
+    defined = keys("acronym").join(acronym_definitions(raw).withColumnRenamed("acronym", "key"), ["doc_id", "key"]).withColumn("text", F.col("key")).select(out)
     a, b = F.lower("w1"), F.lower("w2")
     two = grams.select("doc_id", F.concat_ws(" ", "w1", "w2").alias("text"), "start", "end", F.concat_ws(" ", a, b).alias("ordered"), F.concat_ws(" ", F.least(a, b), F.greatest(a, b)).alias("bag"), (a != b).alias("differ"))
     phrases = keys("phrase").join(two.withColumnRenamed("ordered", "key"), ["doc_id", "key"]).select(out)
     orders = keys("reorder").join(two.where("differ").withColumnRenamed("bag", "key"), ["doc_id", "key"]).select(out)
-    terms = keys("glossary").join(glossary_matches(docs).select("doc_id", F.lower("alt").alias("key"), F.col("match").alias("text"), "start", (F.col("start") + F.length("match")).alias("end")), ["doc_id", "key"]).select(out)
+    terms = keys("glossary").join(glossary_matches(raw, glossary_pairs).select("doc_id", F.lower("alt").alias("key"), F.col("match").alias("text"), "start", (F.col("start") + F.length("match")).alias("end")), ["doc_id", "key"]).select(out)
     for part in (by_form, cases, capital, defined, phrases, orders, terms):
         by_word = by_word.unionByName(part)
     return by_word
@@ -203,7 +203,7 @@ def occurrences(docs: DataFrame, variants: DataFrame) -> DataFrame:
 
 def findings(docs: DataFrame, **options) -> DataFrame:
     """doc_id, category, key, variants (form, count) and occurrences (text, start, end) of every finding."""
-    rows = all_variants(docs, **options)
+    rows = all_variants(docs, **options).persist()  # variants and occurrences both read it
     v = rows.groupBy("doc_id", "category", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("first_start", "form", "n"))), lambda x: F.struct(x.form.alias("form"), x.n.alias("count"))).alias("variants"))
-    o = occurrences(docs, rows).groupBy("doc_id", "category", "key").agg(F.transform(F.sort_array(F.collect_set(F.struct("start", "end", "text"))), lambda x: F.struct(x.text.alias("text"), x.start.alias("start"), x.end.alias("end"))).alias("occurrences"))
+    o = occurrences(docs, rows, options.get("glossary_pairs")).groupBy("doc_id", "category", "key").agg(F.transform(F.sort_array(F.collect_set(F.struct("start", "end", "text"))), lambda x: F.struct(x.text.alias("text"), x.start.alias("start"), x.end.alias("end"))).alias("occurrences"))
     return v.join(o, ["doc_id", "category", "key"], "left")

@@ -17,9 +17,14 @@ MARK = "\x01"
 BOUNDARY = rf"([.!?:]|\n[{T.WS}]*\n)[{T.DECORATION}{T.WS}]*"
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), null texts as empty ones, where they are."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def located(docs: DataFrame) -> DataFrame:
     """(doc_id, text), null texts as empty ones, dealt out by doc_id."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
+    return plain(docs).repartition("doc_id")
 
 
 def lines(docs: DataFrame) -> DataFrame:
