@@ -37,7 +37,8 @@ def lines(docs: DataFrame) -> DataFrame:
     parts = F.split("text", "\n")
     both = F.arrays_zip(parts.alias("line"), F.split(marked, "\n").alias("marked"))
     refs = F.array_position(F.transform(parts, T.references_line), True)  # 1-based, 0: none
-    out = docs.select("doc_id", refs.alias("refs"), F.posexplode(both).alias("line_no", "x"))
+    # two steps: beside a generator, refs would be evaluated for every line
+    out = docs.select("doc_id", refs.alias("refs"), both.alias("both")).select("doc_id", "refs", F.posexplode("both").alias("line_no", "x"))
     return out.select("doc_id", "line_no", F.col("x.line").alias("line"), F.col("x.marked").alias("marked"), T.line_excluded(F.col("x.line")).alias("excluded"), ((F.col("refs") > 0) & (F.col("line_no") >= F.col("refs") - 1)).alias("after_refs"))
 
 
