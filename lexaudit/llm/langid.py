@@ -120,13 +120,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, languag
                         grams[i] += np.bincount(b, minlength=buckets)
         for i in range(len(langs)):
             if texts_of[i]:
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([texts_of[i]], pa.int64()), pa.array([grams[i].tobytes()], pa.binary())], ["lang", "texts", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([texts_of[i]], pa.int64()), pa.array([grams[i].astype("<u4").tobytes()], pa.binary())], ["lang", "texts", "grams"])
 
     grams, texts_of = np.zeros((len(langs), buckets)), np.zeros(len(langs))
-    parts = rows.coalesce(16).mapInArrow(count, "lang int, texts long, grams binary")  # 16 rows a language at most
+    parts = rows.coalesce(4).mapInArrow(count, "lang int, texts long, grams binary")  # 4 rows a language at most
     for r in parts.collect():
         texts_of[r.lang] += r.texts
-        grams[r.lang] += np.frombuffer(r.grams, np.int64)
+        grams[r.lang] += np.frombuffer(r.grams, "<u4")
     log = np.log(grams + 0.5) - np.log(grams.sum(axis=1, keepdims=True) + 0.5 * buckets)
     prior = np.log(texts_of + 1) - np.log(texts_of.sum() + len(langs))
     return langs, np.vstack([log.T, prior])
