@@ -134,7 +134,7 @@ def fuzzy_pairs(vocab: DataFrame, sensitivity: int = 1) -> DataFrame:
     """
     edits, rare = SENSITIVITY.get(sensitivity, SENSITIVITY[2])
     v = vocab.where((F.col("n_usable") > 0) & F.col("lower").rlike(r"^[a-z]{6,}\z") & ~F.col("lower").isin(T.FUZZY_STOPWORDS))
-    v = v.select("doc_id", F.concat(F.substring("lower", 1, 2), F.substring("lower", -1, 1)).alias("block"), F.col("lower").alias("w"), F.col("n_usable").alias("n"), F.col("first_start").alias("first"), T.strip_affixes(F.col("lower")).alias("stem"), T.spelling_key(F.col("lower")).alias("key"))
+    v = v.select("doc_id", F.concat(F.substring("lower", 1, 2), F.substring("lower", -1, 1)).alias("block"), F.col("lower").alias("w"), F.col("n_usable").alias("n"), F.col("first_start").alias("first"), T.strip_affixes(F.col("lower")).alias("stem"), T.spelling_key(F.col("lower")).alias("key")).persist()  # both sides read it
     side = lambda x: v.select("doc_id", "block", *(F.col(c).alias(f"{c}_{x}") for c in ("w", "n", "first", "stem", "key")))
     apart = F.levenshtein("w_a", "w_b", edits + 1)
     near = (F.col("first_a") < F.col("first_b")) & (F.abs(F.length("w_a") - F.length("w_b")) <= edits) & (F.least("n_a", "n_b") <= rare) & (F.col("stem_a") != F.col("stem_b")) & (F.col("key_a") != F.col("key_b"))
@@ -151,7 +151,8 @@ def fuzzy(vocab: DataFrame, sensitivity: int = 1) -> DataFrame:
 def all_variants(docs: DataFrame, glossary_pairs: list | None = None, check_undefined: bool = False, sensitivity: int = 1, checks: set[str] | None = None) -> DataFrame:
     """Variant rows of all detectors (or of the named ones) for documents (doc_id, text).
 
-    Null texts have no findings; documents need distinct ids; other columns are ignored.
+    Null texts have no findings; documents need distinct ids; other columns are ignored. What several
+    detectors read is persisted until the session's cache is cleared.
     """
     docs, raw = K.located(docs), K.plain(docs)  # patterns of the raw text need no shuffle of it
     toks = K.tokens(docs)
