@@ -4,11 +4,13 @@ Documents are dealt out by ranges of doc_id and encoded in ascending order. Each
 of up to SHARD_TOKENS ids. Within a shard, rounds of Re-Pair replace frequent id pairs by
 nonterminals: a round counts all adjacent pairs inside documents exactly, takes the most frequent
 ones of which none ends with what another begins with (so that occurrences never overlap), and
-replaces every occurrence. A shard is one row of a Parquet table with binary columns:
+replaces every occurrence. Rounds end when no pair occurs LEAST times. A shard is one row of a Parquet table with binary columns:
 
     rules     two little-endian symbols for each nonterminal, numbered from `base` on
     lengths   little-endian uint32, the ids that each nonterminal expands to
     symbols   the documents' symbols one after the other (uint16 while they fit, else uint32)
+    alphabet  little-endian uint32, the ids that occur; in the file, symbols and rules count them
+              from 0 and nonterminals after them, `unpack` gives ids and numbers from `base` on
     doc_ids, doc_symbols, doc_tokens   int64 for each document: id, its symbols, its ids
 
 The expansion lengths find any position of any document without decoding what is before it.
@@ -29,62 +31,62 @@ from .bpe import END_ID, by_bytes, default_path, encoder
 from .common import Scratch, load, ragged, tune
 
 SHARD_TOKENS = 2_000_000
-ROUNDS, RULES_A_ROUND, LEAST = 4, 2500, 8
-#: Symbols whose pairs are counted in a round.
-DENSE = 2048
+RULES_A_ROUND, LEAST = 2500, 8
 
-SHARD = "shard int, part long, base long, wide boolean, rules binary, lengths binary, symbols binary, doc_ids binary, doc_null binary, doc_symbols binary, doc_tokens binary"
+SHARD = "shard int, part long, base long, wide boolean, rules binary, lengths binary, symbols binary, alphabet binary, doc_ids binary, doc_null binary, doc_symbols binary, doc_tokens binary"
 
 
-def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, rounds: int = ROUNDS, most: int = RULES_A_ROUND, least: int = LEAST):
+def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, most: int = RULES_A_ROUND, least: int = LEAST):
     """(symbols, symbols of each document, rules, expansion length of each rule).
 
-    A pair is no more frequent than either symbol, so a round counts pairs of the DENSE most
-    frequent symbols in a table; documents have no empty sequence, as each ends with an end id.
+    A pair is no more frequent than the hash slot it falls into, so only pairs of full slots are
+    sorted and counted; documents have no empty sequence, as each ends with an end id.
     """
     seq, ends = ids.astype(np.uint32), np.cumsum(doc_tokens)
     rules, size, span = [np.zeros((0, 2), np.uint32)], base, np.ones(base, np.uint32)
-    last = (1 << 16) if base < 1 << 16 else 1 << 31
-    for _ in range(rounds):
-        if len(seq) < 2 or size >= last:
-            break
-        often = np.bincount(seq, minlength=size)
-        top = np.argsort(-often, kind="stable")[:DENSE]
-        top = top[often[top] >= least]
-        if not len(top):
-            break
-        place = np.full(size, DENSE, np.int32)
-        place[top] = np.arange(len(top))
-        at = place[seq]
-        code = at[:-1] * DENSE + at[1:]
-        off = (at[:-1] == DENSE) | (at[1:] == DENSE)
+    while len(seq) > 1:
+        off = np.zeros(len(seq) - 1, bool)
         off[ends[:-1] - 1] = True  # no pair across documents
-        code[off] = DENSE * DENSE
-        count = np.bincount(code, minlength=DENSE * DENSE + 1)
-        count[-1] = 0
-        count[:: DENSE + 1] = 0  # a symbol with itself could overlap
+        same = np.flatnonzero((seq[:-1] == seq[1:]) & ~off)
+        if len(same):  # a symbol with itself: every other place of a run, so that occurrences don't overlap
+            run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+            nth = np.arange(len(same)) - np.repeat(run, np.diff(run, append=len(same)))
+            off[same[nth % 2 == 1]] = True
+        at = np.flatnonzero(~off)
+        code = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        bits = len(seq).bit_length()
+        slot_of = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        slot = slot_of(code)
+        full = np.flatnonzero(np.bincount(slot, minlength=1 << bits)[slot] >= least)
+        at, code, slot = at[full], code[full], slot[full]
+        ordered = np.sort(code)
+        first = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
+        count = np.diff(first, append=len(ordered))
         some = np.flatnonzero(count >= least)
+        if not len(some):
+            break
         some = some[np.argsort(-count[some], kind="stable")][: 4 * most]
-        left, right, taken, room = set(), set(), [], min(most, last - size)
-        for pair in some.tolist():
-            a, b = divmod(pair, DENSE)
-            if a not in right and b not in left:
+        found = ordered[first[some]]
+        both = np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        left, right, taken = set(), set(), {}
+        for k, ((a, b), own) in enumerate(zip(both.tolist(), slot_of(found).tolist())):
+            if a not in right and b not in left and own not in taken:  # a slot has one rule a round
                 left.add(a)
                 right.add(b)
-                taken.append(pair)
-                if len(taken) == room:
+                taken[own] = k
+                if len(taken) == most:
                     break
-        if not taken:
-            break
-        rule = np.full(DENSE * DENSE + 1, -1, np.int32)
-        rule[taken] = np.arange(len(taken))
-        hit = rule[code]
-        where = np.flatnonzero(hit >= 0)
-        taken = np.array(taken)
-        pairs = np.stack([top[taken // DENSE], top[taken % DENSE]], axis=1).astype(np.uint32)
+        slots, taken = np.array(list(taken)), np.array(list(taken.values()))
+        rule = np.full(1 << bits, -1, np.int32)
+        rule[slots] = np.arange(len(taken))
+        hit = rule[slot]
+        own = np.flatnonzero(hit >= 0)
+        own = own[code[own] == found[taken][hit[own]]]
+        where, hit = at[own], hit[own]
+        pairs = both[taken]
         rules.append(pairs)
         span = np.concatenate([span, span[pairs[:, 0]] + span[pairs[:, 1]]])
-        seq[where] = (size + hit[where]).astype(np.uint32)
+        seq[where] = (size + hit).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         ends = np.cumsum(keep)[ends - 1]
@@ -93,6 +95,16 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, rounds: int = R
     return seq, np.diff(np.concatenate([[0], ends])), np.concatenate(rules), span[base:]
 
 
+def narrow(symbols: np.ndarray, rules: np.ndarray, base: int) -> dict:
+    """wide, rules, symbols and alphabet of a shard's row: the ids that occur are numbered anew, then come the nonterminals."""
+    used = np.unique(np.concatenate([symbols[symbols < base], rules[rules < base]]))
+    number = np.zeros(base + len(rules), np.uint32)
+    number[used], number[base:] = np.arange(len(used)), np.arange(len(used), len(used) + len(rules))
+    wide = len(used) + len(rules) > 1 << 16
+    kind = "<u4" if wide else "<u2"
+    return {"wide": wide, "rules": number[rules].astype(kind).tobytes(), "symbols": number[symbols].astype(kind).tobytes(), "alphabet": used.astype("<u4").tobytes()}
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
     """The ids of a run of symbols: the rules are expanded once, in their order, then gathered."""
     if not len(rules):
@@ -118,7 +130,9 @@ def unpack(row: dict) -> dict:
     """Arrays of a shard's row."""
     kind = "<u4" if row["wide"] else "<u2"
     read = lambda c, t: np.frombuffer(row[c], t)
-    return {"base": row["base"], "rules": read("rules", kind).reshape(-1, 2), "lengths": read("lengths", "<u4"), "symbols": read("symbols", kind)} | {c: read(c, "<i8") for c in ("doc_ids", "doc_symbols", "doc_tokens")} | {"doc_null": read("doc_null", np.uint8).astype(bool)}
+    lengths = read("lengths", "<u4")
+    number = np.concatenate([read("alphabet", "<u4"), row["base"] + np.arange(len(lengths), dtype=np.uint32)]).astype(np.uint32)
+    return {"base": row["base"], "rules": number[read("rules", kind)].reshape(-1, 2), "lengths": lengths, "symbols": number[read("symbols", kind)]} | {c: read(c, "<i8") for c in ("doc_ids", "doc_symbols", "doc_tokens")} | {"doc_null": read("doc_null", np.uint8).astype(bool)}
 
 
 def read_span(shard: dict, doc: int, start: int, length: int) -> np.ndarray:
@@ -154,15 +168,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             tokens = np.concatenate(counts)
             flat = np.concatenate(ids)
             seq, n_symbols, rules, lengths = compress(flat, tokens, base)
-            wide = base + len(rules) > 1 << 16
-            kind = "<u4" if wide else "<u2"
             own = [x for some in names for x in some]
-            row = [task, part, base, wide, rules.astype(kind).tobytes(), lengths.astype("<u4").tobytes(), seq.astype(kind).tobytes(), np.array([x or 0 for x in own], "<i8").tobytes(), np.array([x is None for x in own], np.uint8).tobytes(), n_symbols.astype("<i8").tobytes(), tokens.astype("<i8").tobytes()]
+            made = narrow(seq, rules, base)
+            row = [task, part, base, made["wide"], made["rules"], lengths.astype("<u4").tobytes(), made["symbols"], made["alphabet"], np.array([x or 0 for x in own], "<i8").tobytes(), np.array([x is None for x in own], np.uint8).tobytes(), n_symbols.astype("<i8").tobytes(), tokens.astype("<i8").tobytes()]
             part += 1
             for x in (ids, counts, names):
                 x.clear()
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_()] + [pa.binary()] * 7
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["shard", "part", "base", "wide", "rules", "lengths", "symbols", "doc_ids", "doc_null", "doc_symbols", "doc_tokens"])
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_()] + [pa.binary()] * 8
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["shard", "part", "base", "wide", "rules", "lengths", "symbols", "alphabet", "doc_ids", "doc_null", "doc_symbols", "doc_tokens"])
 
         for batch in batches:
             texts, own = batch.column("text").to_pylist(), batch.column("doc_id").cast(pa.int64()).to_pylist()

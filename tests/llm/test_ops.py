@@ -175,6 +175,31 @@ def test_repair_keeps_documents_apart():
     assert [len(tokens.expand(np.array([6 + k]), rules, 6)) for k in range(len(rules))] == lengths.tolist()
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.zipf(1.3, 40_000), 5000).astype(np.uint32)
+    ids[:300] = 7  # runs of one symbol
+    n = np.full(80, 500)
+    seq, sizes, rules, _ = tokens.compress(ids, n, 5001)
+    assert (tokens.expand(seq, rules, 5001) == ids).all()
+    count = Counter()
+    for own in np.split(seq, np.cumsum(sizes)[:-1]):
+        last, k = own.tolist(), 0
+        while k < len(last) - 1:
+            count[last[k], last[k + 1]] += 1
+            k += 1 + (last[k : k + 3] == [last[k]] * 3)  # aaa holds one aa
+    assert max(count.values()) < tokens.LEAST
+
+
+def test_token_symbols_are_wide_where_16_bits_run_out():
+    for n_ids in (100, 65_530, 70_000):
+        symbols, rules = np.concatenate([np.arange(n_ids), 80_000 + np.arange(10)]).astype(np.uint32), np.arange(20, dtype=np.uint32).reshape(-1, 2)
+        made = tokens.narrow(symbols, rules, 80_000)
+        assert made["wide"] == (n_ids + 10 > 1 << 16)
+        got = tokens.unpack(made | {"base": 80_000, "lengths": np.full(10, 2, "<u4").tobytes()} | {c: b"" for c in ("doc_ids", "doc_null", "doc_symbols", "doc_tokens")})
+        assert (got["symbols"] == symbols).all() and (got["rules"] == rules).all()
+
+
 # ---------------------------------------------------------------- 3, 4
 
 
