@@ -4,11 +4,13 @@ Training counts come from a bounded sample of labelled rows (SAMPLE rows by smal
 id; each sampled text is read whole). Counting is distributed; the driver gets languages x BUCKETS
 sums. The log-probability matrix, whose size depends on languages and BUCKETS only, is broadcast,
 and each batch is scored in numpy: hash every n-gram, gather its row of the matrix, sum by text.
+Where the sample has more than LANGUAGES languages, only the cells it has counts for are kept.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, tune
+from .common import load, ragged, tune
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Labelled rows that training reads at most.
 SAMPLE = 20_000
-#: Languages that training keeps at most (the most frequent): the matrix has LANGUAGES x BUCKETS cells at most.
+#: Languages of a whole matrix at most; the model of more languages is sparse.
 LANGUAGES = 256
 #: Characters that are hashed at once.
 BLOCK = 1 << 20
@@ -92,19 +94,46 @@ def text_sums(texts: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """(languages, table of buckets x languages log-probabilities, with the log-priors in one more row)."""
+class Cells(NamedTuple):
+    """The matrix by its cells with counts: those of bucket b are start[b] .. start[b + 1] - 1."""
+
+    start: np.ndarray
+    lang: np.ndarray
+    more: np.ndarray  # log-probability above that of a cell without counts
+    least: np.ndarray  # by language, log-probability of a cell without counts
+    prior: np.ndarray
+
+    def sums(self, text: str) -> np.ndarray:
+        """Log-probability of the text and each language."""
+        buckets = len(self.start) - 1
+        n = np.zeros(buckets, np.int64)
+        for run, _ in blocks([text]):
+            for _, b in gram_buckets(run[0], buckets):
+                n += np.bincount(b[:BLOCK] if len(run[0]) > BLOCK else b, minlength=buckets)
+        own = np.flatnonzero(n)
+        size = self.start[own + 1] - self.start[own]
+        at = ragged(self.start[own], size)
+        return self.prior + n.sum() * self.least + np.bincount(self.lang[at], np.repeat(n[own], size) * self.more[at], len(self.prior))
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray | Cells]:
+    """(languages, table of buckets x languages log-probabilities, with the log-priors in one more row).
+
+    More than `languages` languages have Cells for a table.
+    """
     tune(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     total = rows.select("doc_id").where("doc_id is not null").count()
     # an even sample by hash: the bound holds up to the hash's evenness, and no sort of texts is needed
     if total > sample:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    langs = [r.lang for r in rows.select("lang").distinct().collect()]
     if not langs:
         return [], np.zeros((buckets + 1, 0))
     langs.sort()
     index = {x: i for i, x in enumerate(langs)}
+    if len(langs) > languages:
+        return langs, _cells(rows, index, buckets)
 
     def count(batches):
         grams, texts_of = np.zeros((len(langs), buckets), np.int64), np.zeros(len(langs), np.int64)
@@ -132,6 +161,40 @@ def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, languag
     return langs, np.vstack([log.T, prior])
 
 
+def _cells(rows: DataFrame, index: dict[str, int], buckets: int) -> Cells:
+    def count(batches):
+        for batch in batches:
+            by = {}
+            for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                if has_letter(t):
+                    by.setdefault(index[lang], []).append(t)
+            for i, texts in by.items():
+                n = np.zeros(buckets, np.int64)
+                for run, _ in blocks(texts):
+                    for _, b in gram_buckets(np.concatenate(run), buckets):
+                        n += np.bincount(b, minlength=buckets)
+                own = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([len(texts)], pa.int64()), pa.array([own.astype("<u4").tobytes()], pa.binary()), pa.array([n[own].astype("<u4").tobytes()], pa.binary())], ["lang", "texts", "at", "grams"])
+
+    count_of, total, texts_of = {}, np.zeros(len(index)), np.zeros(len(index))
+    for r in rows.coalesce(4).mapInArrow(count, "lang int, texts long, at binary, grams binary").toLocalIterator():
+        texts_of[r.lang] += r.texts
+        count_of.setdefault(r.lang, []).append((np.frombuffer(r.at, "<u4"), np.frombuffer(r.grams, "<u4")))
+    at, lang, more = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for i in sorted(count_of):
+        parts = count_of.pop(i)
+        n = np.bincount(np.concatenate([a for a, _ in parts]), np.concatenate([g for _, g in parts]), buckets)
+        own = np.flatnonzero(n)
+        total[i] = n.sum()
+        at.append(own.astype(np.uint32))
+        lang.append(np.full(len(own), i, np.int32))
+        more.append((np.log(n[own] + 0.5) - np.log(0.5)).astype(np.float32))
+    at = np.concatenate(at)
+    by = np.argsort(at, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=buckets))])
+    return Cells(start, np.concatenate(lang)[by], np.concatenate(more)[by], np.log(0.5) - np.log(total + 0.5 * buckets), np.log(texts_of + 1) - np.log(texts_of.sum() + len(index)))
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """All columns of docs, with lang_pred and score (posterior probability, 0 to 1).
 
@@ -141,7 +204,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     langs, table = model
     tune(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
-    told = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))
+    told = docs.sparkSession.sparkContext.broadcast(table if isinstance(table, Cells) else table.astype(np.float32))
 
     def run(batches):
         table = told.value
@@ -149,8 +212,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             texts = batch.column("text").to_pylist()
             at = [i for i, t in enumerate(texts) if has_letter(t)] if langs else []
             pred, score = ["und"] * len(texts), [0.0] * len(texts)
-            if at:
-                sums = text_sums([texts[i] for i in at], table[:-1]) + table[-1]
+            # sparse models have many languages: a text at a time
+            for at in [[i] for i in at] if isinstance(table, Cells) else [at] if at else []:
+                sums = table.sums(texts[at[0]])[None] if isinstance(table, Cells) else text_sums([texts[i] for i in at], table[:-1]) + table[-1]
                 sums -= sums.max(axis=1, keepdims=True)
                 p = np.exp(sums)
                 p /= p.sum(axis=1, keepdims=True)

@@ -326,6 +326,18 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.predict(docs.limit(5), none).collect()} == {"und"}
 
 
+def test_every_language_of_the_sample_is_learned(spark):
+    rng = random.Random(10)
+    roots = {"xx": ["thea", "ing", "whe"], "yy": ["sch", "ung", "ein"], "zz": ["ción", "que", "ll"]}
+    rows = [(i, " ".join("".join(rng.choice(roots[k]) for _ in range(3)) for _ in range(rng.randint(2, 40))), k) for i in range(90) for k in [rng.choice(list(roots))]]
+    rows += [(900, None, "xx"), (901, "12", "ww"), (902, "schung einein " * 120_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    of = lambda most: {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.train(docs, languages=most)).collect()}
+    few, all_ = of(2), of(9)
+    assert {p for p, _ in few.values()} == {"xx", "yy", "zz", "und"}
+    assert all(few[i][0] == all_[i][0] and abs(few[i][1] - all_[i][1]) < 1e-3 for i in all_)
+
+
 def test_language_sums_are_exact():
     rng = np.random.default_rng(3)
     table = rng.normal(size=(1 << 10, 2))
