@@ -27,6 +27,8 @@ NAME = r"[\p{Lu}][\p{L}'’\-]+"
 DOI = r"10\.\d{4,9}/[^\s“”\"<>]+"
 GROUP = rf"\([^()]*{YEAR}[^()]*\)"
 NARRATIVE = rf"({NAME}(?:(?: and | & ){NAME}| et al\.?)?) \(({YEAR})\)"
+#: Numbers of a range that are expanded at once.
+RANGE_BLOCK = 1000
 NUMERIC = r"\[\d+(?:\s*[,–-]\s*\d+)*\]"
 
 
@@ -97,7 +99,13 @@ def citations(zoned: DataFrame) -> DataFrame:
     both = both.select("doc_id", "rec_no", "id", "raw", "parent_raw", author.alias("author"), "year", F.col("who").rlike(r"(?i)et\s+al").alias("et_al"), F.lit(None).cast("int").alias("number"))
     numeric = r.select("doc_id", "rec_no", "id", F.explode(F.regexp_extract_all("t", F.lit(f"({NUMERIC})"), F.lit(1))).alias("raw"))
     bounds = F.transform(F.regexp_extract_all("raw", F.lit(r"(\d+(?:\s*[–-]\s*\d+)?)"), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1)))
-    numbers = F.flatten(F.transform(bounds, lambda b: F.when(F.element_at(b, -1).cast("int") >= b[0].cast("int"), F.sequence(b[0].cast("int"), F.least(F.element_at(b, -1).cast("int"), b[0].cast("int") + 999))).otherwise(F.array(b[0].cast("int"), F.element_at(b, -1).cast("int")))))
+    first, last = F.col("b")[0].cast("int"), F.element_at("b", -1).cast("int")
+    # ranges are whole, and in blocks, so that no long one is in memory at once
+    numeric = numeric.select("doc_id", "rec_no", "id", "raw", F.explode(bounds).alias("b")).select("doc_id", "rec_no", "id", "raw", first.alias("first"), last.alias("last"))
+    blocks = F.when(F.col("last") >= F.col("first"), F.sequence("first", "last", F.lit(RANGE_BLOCK))).otherwise(F.array("first", "last"))
+    numeric = numeric.select("doc_id", "rec_no", "id", "raw", "first", "last", F.explode(blocks).alias("from"))
+    rest = F.col("last") - F.col("from")
+    numbers = F.when(F.col("last") >= F.col("first"), F.sequence("from", F.col("from") + F.least(rest, F.lit(RANGE_BLOCK - 1)))).otherwise(F.array("from"))
     none = lambda t: F.lit(None).cast(t)
     numeric = numeric.select("doc_id", "rec_no", "id", "raw", F.col("raw").alias("parent_raw"), none("string").alias("author"), none("string").alias("year"), F.lit(False).alias("et_al"), F.explode(numbers).alias("number"))
     return both.unionByName(numeric)

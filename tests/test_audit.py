@@ -54,6 +54,16 @@ def test_overrides(spark, records):
         R.zones(records, spark.createDataFrame([(1, None, "P0005", "P0004")], over.schema)).collect()
 
 
+def test_numeric_ranges_are_whole(spark):
+    cases = {"See [1-5000].": [*range(1, 5001)], "See [7, 3–4].": [3, 4, 7], "See [9-2].": [2, 9], "See [5-5], [1000-1999], [1-1001].": sorted([5, *range(1000, 2000), *range(1, 1002)]), "See [2147483640-2147483647].": [*range(2147483640, 2147483648)]}
+    rows = [(1, i, f"P{i}", t) for i, t in enumerate(cases)]
+    zoned = spark.createDataFrame(rows, "doc_id long, rec_no int, id string, text string").withColumn("in_article", R.F.lit(True))
+    got = {i: [] for i in range(len(cases))}
+    for r in C.citations(zoned).collect():
+        got[r.rec_no].append(r.number)
+    assert [sorted(x) for x in got.values()] == list(cases.values())
+
+
 def test_issues(spark, records):
     images = spark.createDataFrame([(1, 0, "r1", True, None), (1, 1, "r2", False, 72.0), (1, 2, "r3", False, 150.0), (1, 3, "r4", False, None)], "doc_id long, img_no int, relationship_id string, missing boolean, dpi double")
     issues = {r.id: r for r in U.audit(records, images).collect()}
