@@ -176,7 +176,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_exact: int = MIN_EXA
 
     A class is a component of lines linked by at most `edits` edits (lines of min_near characters or
     more) or equality (of min_exact or more); first is by doc_id, then line_no. Null texts have no
-    lines; rows that repeat an id are one document; rows without an id take part by equality only.
+    lines; rows that repeat an id are one document; rows without an id take part by equality only, and are
+    first only where no line of the class has an id.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -184,7 +185,9 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_exact: int = MIN_EXA
     scratch = Scratch(spark, "lines")
     # one shuffle for classes and keys; copies of a line meet before it
     lines = lines_of(docs).withColumn("len", F.length("line")).where(F.col("len") >= min_exact).select("doc_id", "line_no", *_identity("line"), F.when(F.col("len") >= min_near, _keys(edits)).alias("keys"))
-    classes = lines.groupBy("h1", "h2", "len").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.first("keys", ignorenulls=True).alias("keys"))
+    place = F.struct("doc_id", "line_no")
+    first = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), place)), F.min(place))
+    classes = lines.groupBy("h1", "h2", "len").agg(first.alias("first"), F.count("*").alias("copies"), F.first("keys", ignorenulls=True).alias("keys"))
     classes = scratch.keep(classes, "classes")
     free(spark)
     keyed = classes.where("first.doc_id is not null").select("first.doc_id", "first.line_no", F.posexplode("keys").alias("at", "key")).select("key", (F.col("at") > edits).cast("int").alias("probe"), "doc_id", "line_no")

@@ -136,6 +136,13 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_lines_without_an_id_hide_no_near_lines(spark):
+    line, alone = "a line that is long enough to be compared with edits", "only rows without an id hold this line"
+    rows = [(None, line + "\n" + alone), (3, line), (4, line + "!"), (5, "!" + line + "\nown text of five")]
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {None: [(0, 3, 0)], 3: [], 4: [(0, 3, 0)], 5: [(0, 3, 0)]}
+
+
 # ---------------------------------------------------------------- 2
 
 
