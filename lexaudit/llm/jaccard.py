@@ -167,8 +167,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     told = scratch.keep(describe(docs), "sets")
     full = told.where("n > 0")
     classes = scratch.keep(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    copies = full.join(classes.where("copies > 1").drop("copies"), ["s1", "s2", "n"]).where("doc_id <> rep").select("doc_id")
-    single = full.where("doc_id is not null").join(copies, "doc_id", "left_anti")
+    copies = full.join(classes.where("copies > 1").drop("copies"), ["s1", "s2", "n"]).where("doc_id <> rep").select("s1", "s2", "n", "doc_id")
+    single = full.where("doc_id is not null").join(copies, ["s1", "s2", "n", "doc_id"], "left_anti")
+    # an id that is repeated links the classes of its texts
+    repeated = full.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    own = copies.join(repeated, "doc_id", "left_semi").join(classes, ["s1", "s2", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    own = scratch.keep(own, "own")
     info = scratch.keep(single.select("doc_id", "n", "sketch"), "info")
 
     # buckets: a running first needs no buffer, however many classes share a bucket
@@ -182,7 +186,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     stars = scratch.keep(_near_sketch(stars, info), "stars")
     ids = lambda p: p.select(F.col("a").alias("doc_id")).unionByName(p.select(F.col("b").alias("doc_id"))).distinct()
     sets = scratch.keep(_sets(docs, ids(stars)), "star_sets")
-    links = scratch.keep(_linked(stars, sets), "star_links")
+    links = scratch.keep(_linked(stars, sets).unionByName(own), "star_links")
     free(spark)
     found = scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "star"), "star_components")
 

@@ -283,6 +283,14 @@ def test_jaccard_components(spark, corpus):
     assert jaccard.jaccard_components(frame(spark, corpus).limit(0)).count() == 0
 
 
+def test_jaccard_repeated_ids_keep_all_their_texts(spark):
+    rng = random.Random(14)
+    a, b, c, d = (words(rng, 60, 4000) for _ in range(4))
+    rows = [(2, a), (5, a), (5, b), (9, b + " z"), (11, c), (12, d), (13, c), (13, d), (20, words(rng, 60, 4000))]
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert got == {(2, 2), (5, 2), (9, 2), (11, 11), (12, 11), (13, 11), (20, 20)}
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(6)
     for n in (1, 2, 4, 5, 16, 17, 40, 64, 65, 300, 1500):
