@@ -4,7 +4,8 @@ A store is a folder of committed batches. A batch is a set of changes (insert, d
 document's token count) that is summed to signed deltas by source, language and tokenizer version
 and becomes visible by one rename to deltas/batch=<id>. A batch id that is there already is left as
 it is, so a retried or repeated commit changes nothing. Totals are sums of deltas, so batches can be
-committed in any order; `compact` folds the committed batches into one snapshot.
+committed in any order; `compact` folds the committed batches into one snapshot, which names them,
+so that totals read the snapshot and later batches only. Folded batches stay, as commit looks for them.
 """
 
 from __future__ import annotations
@@ -58,12 +59,49 @@ def commit(spark: SparkSession, store: str, batch: str, changes: DataFrame) -> b
     return True
 
 
+def _latest(spark: SparkSession, store: str) -> tuple[int | None, list[str]]:
+    """Number of the newest snapshot (None without one), and the committed batches that it doesn't hold."""
+    names = lambda fs, p: [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    last = max(map(int, names(*_fs(spark, f"{store}/snapshots"))), default=None)
+    folded = set() if last is None else {r.batch for r in spark.read.schema("batch string").parquet(f"{store}/snapshots/{last}/batches").collect()}
+    return last, sorted({n.removeprefix("batch=") for n in names(*_fs(spark, f"{store}/deltas")) if n.startswith("batch=")} - folded)
+
+
+def _sums(spark: SparkSession, store: str, last: int | None, new: list[str]) -> DataFrame:
+    paths = [f"{store}/deltas/batch={b}" for b in new] + ([] if last is None else [f"{store}/snapshots/{last}/sums"])
+    return spark.read.schema(DELTA).parquet(*paths)
+
+
+def compact(spark: SparkSession, store: str) -> bool:
+    """Fold the committed batches into a new snapshot, visible by one rename; False if there is nothing to fold."""
+    last, new = _latest(spark, store)
+    if not new:
+        return False
+    number = 0 if last is None else last + 1
+    staged, final = f"{store}/staged/snapshot-{number}-{spark.sparkContext.applicationId}", f"{store}/snapshots/{number}"
+    _sums(spark, store, last, new).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{staged}/sums")
+    batches = spark.createDataFrame([(b,) for b in new], "batch string")
+    if last is not None:
+        batches = batches.unionByName(spark.read.schema("batch string").parquet(f"{store}/snapshots/{last}/batches"))
+    batches.write.mode("overwrite").parquet(f"{staged}/batches")
+    fs, to = _fs(spark, final)
+    fs.mkdirs(to.getParent())
+    source = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    if fs.exists(to) or not fs.rename(source, to):  # another writer was faster
+        fs.delete(source, True)
+        return False
+    return True
+
+
 def totals(spark: SparkSession, store: str) -> DataFrame:
     """source, lang, version, docs, tokens over the committed batches; keys without documents and tokens are left out."""
     fs, root = _fs(spark, f"{store}/deltas")
     if not fs.exists(root):
         return spark.createDataFrame([], DELTA)
-    read = spark.read.schema(DELTA).parquet(f"{store}/deltas")
+    last, new = _latest(spark, store)
+    if last is None and not new:
+        return spark.createDataFrame([], DELTA)
+    read = _sums(spark, store, last, new)
     return read.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
 

@@ -253,6 +253,19 @@ def test_rollups(spark, corpus):
     assert [tuple(r) for r in rollup.totals(spark, store).collect()] == [("a", "en", "v1", 1, 12)]
 
 
+def test_compacted_rollups(spark):
+    store = Scratch(spark, "store").path("c")
+    batch = lambda kind, n: spark.createDataFrame([(kind, "a", "en", "v1", n, None)], "kind string, source string, lang string, version string, tokens long, old_tokens long")
+    now = lambda: [tuple(r) for r in rollup.totals(spark, store).collect()]
+    assert not rollup.compact(spark, store)
+    rollup.commit(spark, store, "b1", batch("insert", 10))
+    rollup.commit(spark, store, "b2", batch("insert", 5))
+    assert rollup.compact(spark, store) and not rollup.compact(spark, store) and now() == [("a", "en", "v1", 2, 15)]
+    assert not rollup.commit(spark, store, "b1", batch("insert", 10))
+    assert rollup.commit(spark, store, "b3", batch("delete", 5)) and now() == [("a", "en", "v1", 1, 10)]
+    assert rollup.compact(spark, store) and now() == [("a", "en", "v1", 1, 10)] and rollup._latest(spark, store) == (1, [])
+
+
 # ---------------------------------------------------------------- 5
 
 
