@@ -1,31 +1,25 @@
 """Hashed word shingles in numpy.
 
-Words are maximal runs of bytes outside \\x20 and \\x09-\\x0D, with A-Z lower-cased. A word's hash is a
-polynomial of random byte values modulo 2**64, taken for all words of a block from one prefix sum.
+Words are maximal runs of bytes outside \\x20 and \\x09-\\x0D, with A-Z lower-cased. A word's hash mixes
+its length and its bytes, eight at a time; no structure of a word carries over. Long words are
+hashed by BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from .common import mix
 
 WORDS = 5
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0xA0761D6478BD642F
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at once; a longer text is cut at a blank.
 SEGMENT = 1 << 20
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        p = np.full(max(n, SEGMENT + 4096), base, np.uint64)
-        p[0] = 1
-        _powers[base] = np.multiply.accumulate(p)
-    return _powers[base]
+#: Bytes of the longest words that are mixed in numpy.
+LONG = 128
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash(block: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -35,9 +29,23 @@ def _hash(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     w[1:-1] = a != 0x20
     edge = np.diff(w)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_VALUES[a] * _power(_BASE, len(a))[: len(a)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * _power(_INVERSE, len(a))[start]), start
+    size = end - start
+    padded = block + bytes(8)
+    eight = np.ndarray(len(a) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    h = mix(size.astype(np.uint64) * _STEP)
+    at = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        left = size[at] - k
+        part = eight[start[at] + k]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        h[at] = mix((h[at] ^ part) * _STEP + np.uint64(k + 1))
+        at = at[left > 8]
+        if not len(at):
+            break
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(block[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h, start
 
 
 def word_hashes(texts: list[str | None]):
