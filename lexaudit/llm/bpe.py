@@ -3,17 +3,19 @@
 A text is cut before those spaces where the tokenizer's own splitting always cuts: a space next to
 a non-space on either side. The ids of a text are then the concatenation of its chunks' ids, so a
 worker calls the tokenizer for chunks it has not met and gathers the rest from memory. A newline
-between non-spaces is a token of its own and cuts as well.
+between non-spaces is a token of its own and cuts as well, and so does an added token (such as
+<|endoftext|>), which the library finds in texts before anything else.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
 
-from .common import ragged
+from .common import ragged, release
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -44,19 +46,19 @@ class _Index(dict):
     def __missing__(self, chunk):
         n = self.owner.size
         self.owner.size = n + 1
+        self.owner.held += len(chunk)
         self[chunk] = n
         self.owner.new.append((self.spaced, chunk))
         return n
 
 
 class ChunkEncoder:
-    """Encodes batches of texts. limit: chunks in memory before most are forgotten; kept: those that stay."""
+    """Encodes batches of texts. limit, most: chunks and their characters in memory before most are forgotten; kept: those that stay."""
 
-    def __init__(self, path: str, limit: int = 600_000, kept: int = 100_000):
+    def __init__(self, path: str, limit: int = 600_000, kept: int = 100_000, most: int = 8 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         if hasattr(self.tok.model, "_resize_cache"):
             self.tok.model._resize_cache(0)  # every chunk comes once
         self.newline = self.tok.encode("\n", add_special_tokens=False).ids
@@ -66,22 +68,26 @@ class ChunkEncoder:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = [b for b in range(256) if b not in plain]
         self.table = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
-        state = __import__("json").loads(self.tok.to_str())
+        state = json.loads(self.tok.to_str())
         pre = state.get("pre_tokenizer") or {}
         #: Chunks are exact for this kind of splitting only; others are encoded text by text.
         self.chunked = state.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.limit, self.kept = limit, kept
+        added = state.get("added_tokens") or []
+        self.added = [t["content"] for t in added]
+        self.chunked = self.chunked and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        self.limit, self.kept, self.most = limit, kept, most
         self.clear()
 
     def clear(self) -> None:
-        self.size, self.new = 0, []
+        self.size, self.held, self.new = 0, 0, []
         self.rest, self.first = _Index(self, True), _Index(self, False)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.len, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     def shrink(self) -> None:
-        """Keep the most frequent of the chunks that came more than once."""
-        at = np.flatnonzero(self.met[: self.size] > 1)
+        """Keep the most frequent of the chunks that came more than once, long ones apart."""
+        at = np.flatnonzero((self.met[: self.size] > 1) & (self.len[: self.size] <= 64))
         if len(at) > self.kept:
             at = at[np.argsort(-self.met[at], kind="stable")[: self.kept]]
         number = np.full(self.size, -1)
@@ -92,9 +98,15 @@ class ChunkEncoder:
         self.rest, self.first = _Index(self, True), _Index(self, False)
         for index, (_, items) in zip((self.rest, self.first), old):
             index.update(items)
+        self.held = sum(len(c) for _, items in old for c, _ in items)
         self.flat, self.used = flat, len(flat)
         self.start, self.len, self.met = np.cumsum(lens) - lens, lens, met
 
+    def rest_now(self) -> None:
+        """The end of a task: the worker may wait or do other work next."""
+        self.shrink()
+        release()
+
     def _put(self, at: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + 1024, np.uint32)])
@@ -147,27 +159,28 @@ class ChunkEncoder:
         """Chunk numbers of all texts one after the other, and how many each text has. Null is empty.
 
         The numbers hold until the next call."""
-        if self.size > self.limit:
+        if self.size > self.limit or self.held > self.most:
             self.shrink()
         index, counts = [], np.zeros(len(texts), np.int64)
         rest, first = self.rest.__getitem__, self.first.__getitem__
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.chunked and _MARK in text:
-                parts = [text]
-            elif self.chunked:
-                if "\n" in text and not _NEWLINE.search(text):
-                    text = text.replace("\n", " " + _MARK)
-                parts = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
-            else:
-                parts = [text]
-            got = np.fromiter(map(rest, parts[1:]), np.int64, len(parts) - 1)
-            if parts[0]:
-                index.append(np.asarray([first(parts[0])]))
-                counts[i] = 1
-            index.append(got)
-            counts[i] += len(got)
+            for piece in self.cut.split(text) if self.chunked and any(a in text for a in self.added) else (text,):
+                if not piece:
+                    continue
+                if self.chunked and _MARK not in piece:
+                    if "\n" in piece and not _NEWLINE.search(piece):
+                        piece = piece.replace("\n", " " + _MARK)
+                    parts = _SAFE.split(piece) if _UNSAFE.search(piece) else piece.split(" ")
+                else:
+                    parts = [piece]
+                got = np.fromiter(map(rest, parts[1:]), np.int64, len(parts) - 1)
+                if parts[0]:
+                    index.append(np.asarray([first(parts[0])]))
+                    counts[i] += 1
+                index.append(got)
+                counts[i] += len(got)
         if self.new:
             self._learn()
         all_ = np.concatenate(index) if index else np.zeros(0, np.int64)

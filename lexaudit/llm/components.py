@@ -31,7 +31,7 @@ def components(edges: DataFrame, scratch: Scratch, label: str = "components", ro
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break
-        e, before = scratch.keep(_stars(e), f"{label}-{i}"), now
+        e, before = scratch.keep(_stars(e), f"{label}-{i}", 2 * now[0]), now  # a round keeps the number of links, nearly
         scratch.drop(kept)
         kept = f"{label}-{i}"
     else:

@@ -228,7 +228,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 [ids_.cast(pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["rem"], pa.int32()), pa.array([task] * len(texts), pa.int32()), pa.array(out["rank"], pa.int64()), pa.array(out["full"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64()))],
                 ["doc_id", "n_tokens", "rem", "task", "rank", "full", "crcs"],
             )
-        enc.shrink()  # the worker may wait or do other work next
+        enc.rest_now()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
