@@ -7,9 +7,11 @@ volume, issue, page, article_number.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .records import flat, norm
+from .rules import issue
 
 #: Schema of a bibliographic service's JSON records, for `from_json`.
 SERVICE = "title array<string>, DOI string, author array<struct<family:string,given:string,name:string>>, issued struct<`date-parts`:array<array<int>>>, published struct<`date-parts`:array<array<int>>>, `published-online` struct<`date-parts`:array<array<int>>>, `published-print` struct<`date-parts`:array<array<int>>>, `container-title` array<string>, publisher string, type string, volume string, issue string, page string, `article-number` string"
@@ -56,8 +58,9 @@ def compare(pairs: DataFrame) -> DataFrame:
     out = pairs.withColumn("all", F.array_compact(F.array(*fields[:3], of_year, *fields[3:])))
     # initials are compared where both sides have them; they are ASCII or not, letters only
     given = F.transform(r("authors"), lambda a, i: F.struct(F.regexp_extract(a, r",\s*(.*)\z", 1).alias("own"), F.coalesce(F.get(m("authors"), i).given, F.lit("")).alias("given"), (i + 1).alias("k")))
-    letters = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
-    initials = F.transform(given, lambda x: F.struct(F.concat(F.lit("author initials "), x.k).alias("name"), x.own.alias("provided"), F.array_join(F.regexp_extract_all(x.given, F.lit(r"(\p{Lu})"), F.lit(1)), ". ").alias("official"), F.when(letters(x.own) == "", "same").when(x.given == "", "missing").when(~x.given.rlike(r"\p{Lu}"), "same").when(letters(x.own) == letters(F.array_join(F.regexp_extract_all(x.given, F.lit(r"(\p{Lu})"), F.lit(1)), "")), "same").otherwise("differs").alias("state"), F.lit(False).alias("core")))
+    letters = lambda c: F.collate(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""), "UNICODE_CI_AI")
+    capitals = lambda c: F.regexp_extract_all(c, F.lit(r"(\p{Lu})"), F.lit(1))
+    initials = F.transform(given, lambda x: F.struct(F.concat(F.lit("author initials "), x.k).alias("name"), x.own.alias("provided"), F.concat(F.array_join(capitals(x.given), ". "), F.lit(".")).alias("official"), F.when(letters(x.own) == "", "same").when(x.given == "", "missing").when(~x.given.rlike(r"\p{Lu}"), "same").when(letters(x.own) == letters(F.array_join(capitals(x.given), "")), "same").otherwise("differs").alias("state"), F.lit(False).alias("core")))
     out = out.withColumn("initials", F.filter(initials, lambda x: x.state != "same"))
     every = F.concat("all", "initials")
     out = out.withColumns({
@@ -80,7 +83,7 @@ def verify(refs: DataFrame, table: DataFrame) -> DataFrame:
     key = pack(table, "m").withColumns({"by_doi": F.lower("m.doi"), "by_title": flat(F.col("m.title"))})
     r = pack(refs, "r").withColumns({"doi_key": F.lower("r.doi"), "title_key": flat(F.col("r.title"))})
     cols = ["r", "status", "identity", "differences", "missing"]
-    one = key.dropDuplicates(["by_doi"])
+    one = key.groupBy("by_doi").agg(F.min_by("m", F.to_json("m")).alias("m"))  # of several, the first as text
     direct = compare(r.where("doi_key is not null").join(one, F.col("doi_key") == F.col("by_doi"))).select(*cols, F.col("m.doi").alias("doi"), F.lit("doi").alias("lookup"))
     searched = compare(r.where("doi_key is null and r.parsed").join(key, F.col("title_key") == F.col("by_title"))).where("identity")
     searched = searched.groupBy("r").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in cols[1:]), F.first("m.doi").alias("doi"))
@@ -93,17 +96,26 @@ def verify(refs: DataFrame, table: DataFrame) -> DataFrame:
     return out.select("doc_id", "id", F.coalesce("status", F.lit("unverified")).alias("status"), (F.col("parsed") | F.col("own").isNotNull()).alias("checked"), "lookup", "doi", F.coalesce("identity", F.lit(False)).alias("identity"), "differences", "missing", reason.alias("reason"))
 
 
-def verification_issues(refs: DataFrame, verified: DataFrame) -> DataFrame:
-    """doc_id, id (of the entry), issue and correction: mismatch, missing DOI, DOI not written as a URL, no-DOI conflict."""
-    v = refs.select("doc_id", "id", "raw", F.col("doi").alias("own")).join(verified, ["doc_id", "id"])
+def verification_issues(refs: DataFrame, verified: DataFrame, records: DataFrame) -> DataFrame:
+    """Issues of section 4: mismatch, missing DOI, DOI not written as a URL, no-DOI conflict, in the order of entries.
+
+    refs are entries with record_ids, whose texts in `records` are the evidence.
+    """
+    v = refs.select("doc_id", "ref_no", "id", "raw", "record_ids", F.col("doi").alias("own")).join(verified, ["doc_id", "id"])
     url = lambda c: F.concat(F.lit("https://doi.org/"), c)
+    one = lambda k, kind, correction: F.struct(F.lit(k).alias("k"), F.lit(f"verification-{kind}").alias("kind"), correction.alias("correction"))
     found = F.array_compact(F.array(
-        F.when(F.col("status") == "metadata_mismatch", F.struct(F.lit("mismatch").alias("issue"), F.lit("").alias("correction"))),
-        F.when(F.col("identity") & F.col("doi").isNotNull() & F.col("own").isNull(), F.struct(F.lit("doi-missing").alias("issue"), url(F.col("doi")).alias("correction"))),
-        F.when(F.col("own").isNotNull() & ~F.col("raw").contains(url(F.col("own"))), F.struct(F.lit("doi-format").alias("issue"), url(F.col("own")).alias("correction"))),
-        F.when((F.col("status") == "verified_no_doi") & F.col("own").isNotNull(), F.struct(F.lit("no-doi-conflict").alias("issue"), F.lit("").alias("correction"))),
+        F.when(F.col("status") == "metadata_mismatch", one(0, "mismatch", F.lit(""))),
+        F.when(F.col("identity") & F.col("doi").isNotNull() & F.col("own").isNull(), one(1, "doi-missing", url(F.col("doi")))),
+        F.when(F.col("own").isNotNull() & ~F.col("raw").contains(url(F.col("own"))), one(2, "doi-format", url(F.col("own")))),
+        F.when((F.col("status") == "verified_no_doi") & F.col("own").isNotNull(), one(3, "no-doi-conflict", F.lit(""))),
     ))
-    return v.select("doc_id", "id", F.inline(found))
+    v = v.select("doc_id", "ref_no", "id", "raw", "record_ids", "differences", F.inline(found))
+    quotes = v.select("doc_id", "id", F.posexplode("record_ids").alias("n", "pid")).distinct().join(records.select("doc_id", F.col("id").alias("pid"), "text"), ["doc_id", "pid"])
+    quotes = quotes.groupBy("doc_id", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "pid", "text"))), lambda x: F.struct(x.pid.alias("paragraph_id"), x.text.alias("quote"))).alias("evidence"))
+    v = v.join(quotes, ["doc_id", "id"], "left").withColumn("at", F.row_number().over(W.partitionBy("doc_id").orderBy("ref_no", "k")) - 1)
+    shown = F.array_join(F.transform(F.coalesce("differences", F.array()), lambda d: F.concat(d["name"], F.lit(": "), d.provided, F.lit(" / "), d.official)), "; ")
+    return issue(v, F.col("kind"), 4, F.col("at"), F.concat_ws("-", F.lit("verification"), "id", "at"), [F.col("id"), shown], F.col("evidence"), False, F.array("raw"), F.col("correction"), "verification")
 
 
 def editor_override(verified: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ The grammar of entries and citations is our own reading of APA 7:
   joined by commas, `&` or `and`; a name without initials is an institution.
 * citation in brackets: (Author, 2020; Author & Author, 2021a; Author et al., 2019); in running
   text: Author (2020), Author and Author (2020), Author et al. (2020).
-* numeric citation: [1], [2, 5], [3-6].
+* numeric citation: [1], [2, 5], [3-6]. A range is one row with its ends and how many it cites, so
+  a long one costs no more than a short one. Numbers of more than DIGITS digits make no range.
+* an institution may be cited by an acronym that the text defines: World Health Organization (WHO).
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ NAME = r"[\p{Lu}][\p{L}'’\-]+"
 DOI = r"10\.\d{4,9}/[^\s“”\"<>]+"
 GROUP = rf"\([^()]*{YEAR}[^()]*\)"
 NARRATIVE = rf"({NAME}(?:(?: and | & ){NAME}| et al\.?)?) \(({YEAR})\)"
-#: Numbers of a range that are expanded at once.
-RANGE_BLOCK = 1000
+ACRONYM = rf"((?:{NAME}(?:[{WS}]+(?:of|and|for|the|on))*[{WS}]+){{1,6}}{NAME})[{WS}]*\(([A-Z]{{2,8}})[,)]"
+#: Digits of the longest numbers that are counted with.
+DIGITS = 18
 NUMERIC = r"\[\d+(?:\s*[,–-]\s*\d+)*\]"
 
 
@@ -85,8 +88,23 @@ def duplicates(parsed: DataFrame) -> DataFrame:
     return g.select("doc_id", number.alias("group"), F.transform("m", lambda x: x.id).alias("ids"), (F.size("m") - 1).alias("extra"))
 
 
+def _names(who: Column) -> tuple[Column, Column]:
+    """First author and, of exactly two, the second."""
+    first = trim(F.regexp_replace(who, rf"(?:[{WS}]*(?:&|,)|[{WS}]+and[{WS}]|[{WS}]+et[{WS}]+al).*\z", ""))
+    second = F.regexp_extract(who, rf"^[^,&]*?[{WS}]*(?:&|[{WS}]and[{WS}])[{WS}]*([^,&]+?)[{WS}]*\z", 1)
+    return first, F.when(second != "", second)
+
+
+def digits(c: Column) -> Column:
+    """A number as text, without leading zeros."""
+    return F.regexp_replace(c, r"^0+(\d)", "$1")
+
+
 def citations(zoned: DataFrame) -> DataFrame:
-    """doc_id, rec_no, id, raw, parent_raw, author, year, et_al, number: one row a cited work, from article records."""
+    """doc_id, rec_no, id, raw, parent_raw, author, second, year, et_al, number, last, n: one row a cited work or range of numbers, from article records.
+
+    n is how many works a row cites: last - number + 1 for a range, 2 for one that runs backwards.
+    """
     r = zoned.where("in_article").select("doc_id", "rec_no", "id", F.col("text").alias("t"))
     group = r.select("doc_id", "rec_no", "id", F.explode(F.regexp_extract_all("t", F.lit(f"({GROUP})"), F.lit(1))).alias("parent_raw"))
     part = rf"^[^\p{{Lu}}]*(\p{{Lu}}[^,]*?),?[{WS}]+({YEAR})"
@@ -94,34 +112,65 @@ def citations(zoned: DataFrame) -> DataFrame:
     group = group.select("doc_id", "rec_no", "id", trim(F.col("raw")).alias("raw"), "parent_raw", F.regexp_extract("raw", part, 1).alias("who"), F.regexp_extract("raw", part, 2).alias("year"))
     running = r.select("doc_id", "rec_no", "id", F.explode(F.regexp_extract_all("t", F.lit(f"({NARRATIVE})"), F.lit(1))).alias("raw"))
     running = running.select("doc_id", "rec_no", "id", "raw", F.col("raw").alias("parent_raw"), F.regexp_extract("raw", NARRATIVE, 1).alias("who"), F.regexp_extract("raw", NARRATIVE, 2).alias("year"))
-    both = group.unionByName(running)
-    author = trim(F.regexp_replace("who", rf"(?:[{WS}]*(?:&|,)|[{WS}]+and[{WS}]|[{WS}]+et[{WS}]+al).*\z", ""))
-    both = both.select("doc_id", "rec_no", "id", "raw", "parent_raw", author.alias("author"), "year", F.col("who").rlike(r"(?i)et\s+al").alias("et_al"), F.lit(None).cast("int").alias("number"))
+    first, second = _names(F.col("who"))
+    none = F.lit(None).cast("string")
+    both = group.unionByName(running).select("doc_id", "rec_no", "id", "raw", "parent_raw", first.alias("author"), second.alias("second"), "year", F.col("who").rlike(r"(?i)et\s+al").alias("et_al"), none.alias("number"), none.alias("last"), F.lit(1).cast("long").alias("n"))
     numeric = r.select("doc_id", "rec_no", "id", F.explode(F.regexp_extract_all("t", F.lit(f"({NUMERIC})"), F.lit(1))).alias("raw"))
     bounds = F.transform(F.regexp_extract_all("raw", F.lit(r"(\d+(?:\s*[–-]\s*\d+)?)"), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1)))
-    first, last = F.col("b")[0].cast("int"), F.element_at("b", -1).cast("int")
-    # ranges are whole, and in blocks, so that no long one is in memory at once
-    numeric = numeric.select("doc_id", "rec_no", "id", "raw", F.explode(bounds).alias("b")).select("doc_id", "rec_no", "id", "raw", first.alias("first"), last.alias("last"))
-    blocks = F.when(F.col("last") >= F.col("first"), F.sequence("first", "last", F.lit(RANGE_BLOCK))).otherwise(F.array("first", "last"))
-    numeric = numeric.select("doc_id", "rec_no", "id", "raw", "first", "last", F.explode(blocks).alias("from"))
-    rest = F.col("last") - F.col("from")
-    numbers = F.when(F.col("last") >= F.col("first"), F.sequence("from", F.col("from") + F.least(rest, F.lit(RANGE_BLOCK - 1)))).otherwise(F.array("from"))
-    none = lambda t: F.lit(None).cast(t)
-    numeric = numeric.select("doc_id", "rec_no", "id", "raw", F.col("raw").alias("parent_raw"), none("string").alias("author"), none("string").alias("year"), F.lit(False).alias("et_al"), F.explode(numbers).alias("number"))
+    numeric = numeric.select("doc_id", "rec_no", "id", "raw", F.explode(bounds).alias("b")).withColumns({"number": digits(F.col("b")[0]), "last": digits(F.element_at("b", -1))})
+    small = (F.length("number") <= DIGITS) & (F.length("last") <= DIGITS)
+    span = F.col("last").try_cast("long") - F.col("number").try_cast("long")
+    n = F.when(small & (span >= 0), span + 1).otherwise(F.size("b").cast("long"))
+    numeric = numeric.select("doc_id", "rec_no", "id", "raw", F.col("raw").alias("parent_raw"), none.alias("author"), none.alias("second"), none.alias("year"), F.lit(False).alias("et_al"), "number", "last", n.alias("n"))
     return both.unionByName(numeric)
 
 
-def resolve(cited: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Citations with status (matched, ambiguous, nomatch or numeric_style), ref_id and candidates.
+def acronyms(zoned: DataFrame) -> DataFrame:
+    """doc_id, acronym (flat), name (flat): institutions that article records abbreviate; the first name of an acronym counts."""
+    r = zoned.where("in_article").select("doc_id", "rec_no", F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(ACRONYM), F.lit(1)).alias("name"), F.regexp_extract_all("text", F.lit(ACRONYM), F.lit(2)).alias("short"))).alias("k", "x"))
+    return r.groupBy("doc_id", F.lower("x.short").alias("acronym")).agg(F.min_by("x.name", F.struct("rec_no", "k")).alias("name")).withColumn("name", flat(F.col("name")))
+
+
+def resolve(cited: DataFrame, parsed: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Citations with status (matched, review, ambiguous, nomatch or numeric_style), ref_id and candidates.
 
-    A reference matches by the flattened surname of its first author (or institution) and the year.
+    Candidates share the flattened surname of the first author (or the institution, or what
+    `acronyms` says of it) and the year. One candidate that has the cited authors is the match: a
+    second author where the citation names two, three authors or more for "et al.", else one author.
+    A single candidate with other authors is for review; several are ambiguous.
     """
-    key = flat(F.when(F.col("is_institutional"), F.col("authors")[0]).otherwise(F.substring_index(F.get("authors", F.lit(0)), ",", 1)))
-    refs = parsed.where("parsed").select("doc_id", key.alias("who"), "year", F.col("id").alias("ref")).groupBy("doc_id", "who", "year").agg(F.sort_array(F.collect_list("ref")).alias("refs"))
-    out = cited.withColumn("who", flat(F.col("author"))).join(refs, ["doc_id", "who", "year"], "left")
-    n = F.coalesce(F.size("refs"), F.lit(0))
-    status = F.when(F.col("number").isNotNull(), "numeric_style").when(F.col("refs").isNull(), "nomatch").when(n == 1, "matched").otherwise("ambiguous")
-    return out.select("doc_id", "rec_no", "id", "raw", "parent_raw", "author", "year", "et_al", "number", status.alias("status"), F.when(status == "matched", F.col("refs")[0]).alias("ref_id"), F.coalesce("refs", F.array().cast("array<string>")).alias("candidates"))
+    surname = lambda k: F.substring_index(F.get("authors", F.lit(k)), ",", 1)
+    key = flat(F.when(F.col("is_institutional"), F.col("authors")[0]).otherwise(surname(0)))
+    refs = parsed.where("parsed").select("doc_id", key.alias("who"), "year", F.struct("ref_no", F.col("id").alias("ref"), flat(surname(1)).alias("second"), F.size("authors").alias("size")).alias("r"))
+    refs = refs.groupBy("doc_id", "who", "year").agg(F.sort_array(F.collect_list("r")).alias("refs"))
+    out = cited.withColumns({"who": flat(F.col("author")), "two": flat(F.col("second"))})
+    if known is not None:
+        out = out.join(known.withColumnRenamed("acronym", "who"), ["doc_id", "who"], "left").withColumn("who", F.coalesce("name", "who")).drop("name")
+    out = out.join(refs, ["doc_id", "who", "year"], "left")
+    fits = lambda r: F.when(F.col("second").isNotNull(), (r.second == F.col("two")) & (r.size == 2)).when(F.col("et_al"), r.size >= 3).otherwise(r.size == 1)
+    out = out.withColumn("fit", F.filter("refs", fits))
+    status = F.when(F.col("number").isNotNull(), "numeric_style").when(F.col("refs").isNull(), "nomatch").when(F.size("fit") == 1, "matched").when(F.size("refs") == 1, "review").otherwise("ambiguous")
+    candidates = F.coalesce(F.transform("refs", lambda r: r.ref), F.array().cast("array<string>"))
+    return out.select("doc_id", "rec_no", "id", "raw", "parent_raw", "author", "second", "year", "et_al", "number", "last", "n", status.alias("status"), F.when(status == "matched", F.col("fit")[0].ref).alias("ref_id"), candidates.alias("candidates"))
+
+
+#: Our own rules on the form of APA citations: name, pattern, what is replaced by what.
+FORMS = [
+    ("ampersand", rf"({NAME} and {NAME},? {YEAR})", r" and ", " & "),
+    ("and", rf"({NAME} & {NAME} \({YEAR}\))", r" & ", " and "),
+    ("et-al", rf"({NAME} et al,? \(?{YEAR})", r" et al(,?) ", " et al.$1 "),
+    ("comma", rf"\(({NAME}(?: & {NAME}| et al\.)? {YEAR})\)", rf" ({YEAR})\z", ", $1"),
+]
+
+
+def forms(zoned: DataFrame) -> DataFrame:
+    """doc_id, rec_no, id, k (order in the record), code, correction: citations whose form APA 7 has otherwise, each code once a document."""
+    r = zoned.where("in_article").where(F.col("heading").isNull() | (F.col("heading") != "introduction"))
+    mended = lambda a, b: lambda x: F.struct(x.alias("code"), F.regexp_replace(x, a, b).alias("correction"))
+    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), mended(a, b)) for _, p, a, b in FORMS)))
+    r = r.select("doc_id", "rec_no", "id", F.posexplode(found).alias("k", "x")).select("doc_id", "rec_no", "id", "k", "x.code", "x.correction")
+    first = F.min(F.struct("rec_no", "k", "id"))
+    return r.groupBy("doc_id", "code", "correction").agg(first.alias("f")).select("doc_id", "f.rec_no", "f.id", "f.k", "code", "correction")
 
 
 def uncited(parsed: DataFrame, resolved: DataFrame) -> DataFrame:

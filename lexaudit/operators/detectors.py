@@ -66,8 +66,9 @@ def spelling(vocab: DataFrame) -> DataFrame:
 def glossary_matches(docs: DataFrame, pairs: list[tuple[int, str, str]] | None = None) -> DataFrame:
     """doc_id, line_no (of the glossary), preferred, alt, match, start of each use of an alternative."""
     pairs = T.glossary_pairs() if pairs is None else pairs
+    docs = docs.select("doc_id", "text", F.lower("text").alias("low"))
     # one pass of the text for each alternative: gap and match alternate from the last match on
-    hits = [F.struct(F.lit(k).alias("line_no"), F.lit(p).alias("preferred"), F.lit(a).alias("alt"), F.when(F.lower("text").contains(a.lower()), located_matches(F.col("text"), T.term_pattern(a))).alias("m")) for k, p, a in pairs]
+    hits = [F.struct(F.lit(k).alias("line_no"), F.lit(p).alias("preferred"), F.lit(a).alias("alt"), F.when(F.col("low").contains(a.lower()), located_matches(F.col("text"), T.term_pattern(a))).alias("m")) for k, p, a in pairs]
     out = docs.select("doc_id", F.inline(F.filter(F.array(*hits), lambda h: F.size(h.m) > 0)))
     return out.select("doc_id", "line_no", "preferred", "alt", F.inline("m"))
 
@@ -148,16 +149,18 @@ def fuzzy(vocab: DataFrame, sensitivity: int = 1) -> DataFrame:
     return _variants(rows, "fuzzy", "key", "form", "n", "at")
 
 
-def all_variants(docs: DataFrame, glossary_pairs: list | None = None, check_undefined: bool = False, sensitivity: int = 1, checks: set[str] | None = None) -> DataFrame:
+def all_variants(docs: DataFrame, glossary_pairs: list | None = None, check_undefined: bool = False, sensitivity: int = 1, checks: set[str] | None = None, toks: DataFrame | None = None) -> DataFrame:
     """Variant rows of all detectors (or of the named ones) for documents (doc_id, text).
 
-    Null texts have no findings; documents need distinct ids; other columns are ignored. What several
-    detectors read is persisted until the session's cache is cleared.
+    Null texts have no findings; documents need distinct ids; other columns are ignored. toks is the
+    documents' token layer where the caller has one. What several detectors read is persisted until
+    the session's cache is cleared.
     """
-    docs, raw = K.located(docs), K.plain(docs)  # patterns of the raw text need no shuffle of it
-    toks = K.tokens(docs)
-    if checks is None or len(checks & {"case", "hyphenation", "identifier", "spelling", "acronym", "phrase", "reorder", "fuzzy"}) > 1:
-        toks = toks.persist()  # several detectors read it; a lost part is made again
+    raw = K.plain(docs)  # patterns of the raw text need no shuffle of it
+    if toks is None:
+        toks = K.tokens(K.located(docs))
+        if checks is None or len(checks & {"case", "hyphenation", "identifier", "spelling", "acronym", "phrase", "reorder", "fuzzy"}) > 1:
+            toks = toks.persist()  # several detectors read it; a lost part is made again
     vocab, grams = K.vocabulary(toks), K.bigrams(toks)
     made = {
         "case": lambda: case(toks),
@@ -177,10 +180,10 @@ def all_variants(docs: DataFrame, glossary_pairs: list | None = None, check_unde
     return out
 
 
-def occurrences(docs: DataFrame, variants: DataFrame, glossary_pairs: list | None = None) -> DataFrame:
+def occurrences(docs: DataFrame, variants: DataFrame, glossary_pairs: list | None = None, toks: DataFrame | None = None) -> DataFrame:
     """doc_id, category, key, text, start, end of what each finding points at."""
     raw = K.plain(docs)
-    toks = K.tokens(K.located(docs)).persist()
+    toks = K.tokens(K.located(docs)).persist() if toks is None else toks
     grams = K.bigrams(toks)
     keys = lambda *names: variants.where(F.col("category").isin(*names)).select("doc_id", "category", "key").distinct()
     # the forms that are whole tokens, by the lower-case word
@@ -204,7 +207,8 @@ def occurrences(docs: DataFrame, variants: DataFrame, glossary_pairs: list | Non
 
 def findings(docs: DataFrame, **options) -> DataFrame:
     """doc_id, category, key, variants (form, count) and occurrences (text, start, end) of every finding."""
-    rows = all_variants(docs, **options).persist()  # variants and occurrences both read it
+    toks = K.tokens(K.located(docs)).persist()  # one token layer for forms and places
+    rows = all_variants(docs, **options, toks=toks).persist()  # variants and occurrences both read it
     v = rows.groupBy("doc_id", "category", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("first_start", "form", "n"))), lambda x: F.struct(x.form.alias("form"), x.n.alias("count"))).alias("variants"))
-    o = occurrences(docs, rows, options.get("glossary_pairs")).groupBy("doc_id", "category", "key").agg(F.transform(F.sort_array(F.collect_set(F.struct("start", "end", "text"))), lambda x: F.struct(x.text.alias("text"), x.start.alias("start"), x.end.alias("end"))).alias("occurrences"))
+    o = occurrences(docs, rows, options.get("glossary_pairs"), toks).groupBy("doc_id", "category", "key").agg(F.transform(F.sort_array(F.collect_set(F.struct("start", "end", "text"))), lambda x: F.struct(x.text.alias("text"), x.start.alias("start"), x.end.alias("end"))).alias("occurrences"))
     return v.join(o, ["doc_id", "category", "key"], "left")

@@ -10,6 +10,7 @@ from ..operators import detectors as D
 from ..operators import report as P
 from ..operators import semantic as S
 from ..operators import tokens as K
+from ..operators.audit import metadata as M
 from ..operators.audit import records as R
 from ..operators.audit import references as C
 from ..operators.audit import report as AP
@@ -40,7 +41,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a document, with a manuscript's lines after it, as a body record."""
     docs = _added(documents(spark, sf_dir), Q.MANUSCRIPT, "\n")
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text"))
-    return rows.select("doc_id", (F.col("k") + 1).alias("rec_no"), F.concat(F.lit("P"), F.lpad((F.col("k") + 1).cast("string"), 4, "0")).alias("id"), "text", F.lit(R.MAIN).alias("part"), F.lit("body").alias("kind"), F.lit(None).cast("string").alias("style"), F.lit(False).alias("highlighted"))
+    return rows.select("doc_id", (F.col("k") + 1).alias("rec_no"), F.concat(F.lit("P"), F.lpad((F.col("k") + 1).cast("string"), 4, "0")).alias("id"), "text", F.lit(R.MAIN).alias("part"), F.lit("body").alias("kind"), F.lit(None).cast("string").alias("style"), (F.col("k") % 11 == 3).alias("highlighted"))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missing image, a coarse one and a clear one for every fifth document."""
+    docs = documents(spark, sf_dir).where("doc_id % 5 = 0")
+    return docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("img_no")).select("doc_id", "img_no", F.concat(F.lit("rId"), "doc_id").alias("relationship_id"), (F.col("img_no") == 0).alias("missing"), F.when(F.col("img_no") == 1, 72.4).when(F.col("img_no") == 2, 300.0).alias("dpi"))
+
+
+def biblio(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(Q.BIBLIO, "doi string, title string, authors array<struct<family:string,given:string,name:string>>, years array<string>, container string, publisher string, type string, volume string, issue string, page string, article_number string")
 
 
 def _flat(v: DataFrame) -> DataFrame:
@@ -113,7 +124,8 @@ def candidate_bigrams(spark, sf_dir):
 
 def candidates_all(spark, sf_dir):
     docs = augmented(spark, sf_dir)
-    return S.candidates(docs, S.flagged_forms(D.all_variants(docs, check_undefined=True)))
+    toks = K.tokens(K.located(docs)).persist()
+    return S.candidates(docs, S.flagged_forms(D.all_variants(docs, check_undefined=True, toks=toks)), toks=toks)
 
 
 def cosine_pairs(spark, sf_dir):
@@ -138,7 +150,7 @@ def _items(spark, sf_dir):
 
 
 def finding_contexts(spark, sf_dir):
-    return _items(spark, sf_dir)[0]
+    return _items(spark, sf_dir)[0].withColumn("contexts", F.array_join("contexts", "\n"))
 
 
 def markdown_report(spark, sf_dir):
@@ -174,17 +186,21 @@ def audit_reference_islands(spark, sf_dir):
     return C.entries(_zones(spark, sf_dir)).select("doc_id", "ref_no", "id", "raw", F.array_join("record_ids", ",").alias("record_ids"))
 
 
-def audit_references(spark, sf_dir):
+def _parsed(spark, sf_dir):
     return C.parse(C.entries(_zones(spark, sf_dir)))
 
 
+def audit_references(spark, sf_dir):
+    return _parsed(spark, sf_dir).withColumns({"authors": F.array_join("authors", "; "), "record_ids": F.array_join("record_ids", ",")})
+
+
 def audit_duplicates(spark, sf_dir):
-    return C.duplicates(C.parse(C.entries(_zones(spark, sf_dir))))
+    return C.duplicates(_parsed(spark, sf_dir)).withColumn("ids", F.array_join("ids", ","))
 
 
 def audit_citations(spark, sf_dir):
     z = _zones(spark, sf_dir)
-    return C.resolve(C.citations(z), C.parse(C.entries(z)))
+    return C.resolve(C.citations(z), C.parse(C.entries(z)), C.acronyms(z)).withColumn("candidates", F.array_join("candidates", ","))
 
 
 def audit_captions(spark, sf_dir):
@@ -211,23 +227,75 @@ def audit_length_rules(spark, sf_dir):
     return U.lengths(_zones(spark, sf_dir), R.Limits(4, 35, 300)).select("doc_id", "id")
 
 
+def _issues(spark, sf_dir):
+    return U.audit(records(spark, sf_dir), images(spark, sf_dir)).persist()  # most readers read it several times
+
+
 def audit_issues(spark, sf_dir):
-    return U.audit(records(spark, sf_dir))
+    shown = F.transform("evidence", lambda e: F.concat(e.paragraph_id, F.lit("="), e.quote))
+    return _issues(spark, sf_dir).select("doc_id", "rule", "spot", "id", "kind", "section", "review", "problem", "action", F.array_join(shown, "|").alias("evidence"), F.array_join("examples", "|").alias("examples"), "correction")
 
 
 def audit_issue_numbering(spark, sf_dir):
-    return AP.numbered(audit_issues(spark, sf_dir)).select("doc_id", "id", "section", "group", "number")
+    return AP.numbered(_issues(spark, sf_dir)).select("doc_id", "id", "section", "group", "number")
 
 
-def audit_letters(spark, sf_dir):
-    return AP.letters(AP.numbered(audit_issues(spark, sf_dir)), documents(spark, sf_dir).select("doc_id", F.concat(F.lit("M-"), "doc_id").alias("manuscript_id")))
+def audit_comments(spark, sf_dir):
+    return AP.comments(AP.numbered(_issues(spark, sf_dir)), records(spark, sf_dir))
 
 
-def audit_comments(spark, sf_dir):
-    return AP.comments(AP.numbered(audit_issues(spark, sf_dir)), records(spark, sf_dir))
+def _verified(spark, sf_dir):
+    refs = _parsed(spark, sf_dir).persist()
+    return refs, M.verify(refs, biblio(spark))
+
+
+def audit_verification(spark, sf_dir):
+    shown = F.array_join(F.transform("differences", lambda d: F.concat(d["name"], F.lit(": "), d.provided, F.lit(" / "), d.official)), "; ")
+    return _verified(spark, sf_dir)[1].withColumns({"differences": F.coalesce(shown, F.lit("")), "missing": F.coalesce(F.array_join("missing", ", "), F.lit(""))})
+
+
+def audit_verification_issues(spark, sf_dir):
+    refs, verified = _verified(spark, sf_dir)
+    return M.verification_issues(refs, verified, records(spark, sf_dir)).select("doc_id", "section", "spot", F.col("args")[0].alias("ref"), "kind", "correction")
+
+
+def audit_manual(spark, sf_dir):
+    first = records(spark, sf_dir).where("id = 'P0001'").select("doc_id", "text")
+    rows = spark.createDataFrame(Q.MANUAL, "item int, section int, comment string, pid string, quote string")
+    quote = F.array(F.struct(F.col("pid").alias("paragraph_id"), F.coalesce("quote", "text").alias("quote")))
+    items = first.join(F.broadcast(rows)).select("doc_id", "item", "section", "comment", F.when(F.col("pid").isNotNull(), quote).otherwise(F.array().cast(U.EVIDENCE)).alias("evidence"))
+    dois = _parsed(spark, sf_dir).where("doi is not null").select("doc_id", "doi")
+    return U.validate_manual(items, records(spark, sf_dir), dois).select("doc_id", "item", "error")
+
+
+def _numbers(spark, sf_dir):
+    z = _zones(spark, sf_dir).persist()
+    refs, verified = _verified(spark, sf_dir)
+    verified = verified.persist()
+    resolved = C.resolve(C.citations(z), refs, C.acronyms(z))
+    columns = lambda df: df.select("doc_id", "rule", "spot", "id", "kind", "section", "review", "args", "evidence", "examples", "correction", "source", "selected")
+    issues = columns(_issues(spark, sf_dir)).unionByName(columns(M.verification_issues(refs, verified, z))).persist()
+    return z, refs, verified, issues, AP.summary(z, refs, resolved, C.duplicates(refs), verified, issues)
+
+
+def audit_summary(spark, sf_dir):
+    out = _numbers(spark, sf_dir)[-1]
+    return out.select("doc_id", *(F.col(c) if c == "reference_found" else F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in out.columns[1:]))
+
+
+def audit_letters(spark, sf_dir):
+    """Letters in English or Indonesian, by document."""
+    z, refs, verified, issues, numbers = _numbers(spark, sf_dir)
+    manuscripts = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("M-"), "doc_id").alias("manuscript_id"), (F.col("doc_id") % 2 == 0).alias("confirmed"), F.when(F.col("doc_id") % 3 == 0, 1234).alias("saved_words"), F.array().cast("array<string>").alias("warnings"))
+    told = refs.select("doc_id", "ref_no", "id", "raw").join(verified.select("doc_id", "id", "status", "reason"), ["doc_id", "id"])
+    items, numbers, out = AP.numbered(issues).persist(), numbers.persist(), None
+    for k, lang in enumerate(("en", "id")):
+        some = AP.letters(AP.report(manuscripts.where(F.col("doc_id") % 2 == k), numbers, items, told, z, lang), lang)
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
-_PLAIN = (word_count, tokens, lines_flags, vocabulary, findings_union, findings_summary, severity_summary, flagged_forms, candidate_words, candidate_phrases, candidate_bigrams, candidates_all, cosine_pairs, contexts, term_occurrences, finding_contexts, markdown_report, html_report, annotated, audit_words, audit_zones, audit_abstracts, audit_reference_islands, audit_references, audit_duplicates, audit_citations, audit_captions, audit_callouts, audit_caption_numbers, audit_placeholders, audit_blank_dates, audit_length_rules, audit_issues, audit_issue_numbering, audit_letters, audit_comments)
+_PLAIN = (word_count, tokens, lines_flags, vocabulary, findings_union, findings_summary, severity_summary, flagged_forms, candidate_words, candidate_phrases, candidate_bigrams, candidates_all, cosine_pairs, contexts, term_occurrences, finding_contexts, markdown_report, html_report, annotated, audit_words, audit_zones, audit_abstracts, audit_reference_islands, audit_references, audit_duplicates, audit_citations, audit_captions, audit_callouts, audit_caption_numbers, audit_placeholders, audit_blank_dates, audit_length_rules, audit_issues, audit_issue_numbering, audit_comments, audit_verification, audit_verification_issues, audit_manual, audit_summary, audit_letters)
 
 
 def queries() -> dict:
@@ -278,6 +346,28 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, cast(rank as int) as rank, kind, term, n from (select *, row_number() over (partition by doc_id order by o, place) as rank from u) where rank <= {S.TOTAL}""",
         "cosine_pairs": f"with v as (select vec_id // {TERMS} as doc_id, vec_id % {TERMS} as rank, cast(vec_id as varchar) as term, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings) select * from (select x.doc_id, x.term as a, y.term as b, round(list_dot_product(x.e, y.e), 6) as similarity from v x join v y on x.doc_id = y.doc_id and x.rank < y.rank where list_dot_product(x.e, y.e) >= 0.35)",
         "contexts": f"with {aug}, {Q.TOKENS} select t.doc_id, t.text as term, start, {snip('doc.text', 'start', 'stop')} as context from tok t join doc on doc.doc_id = t.doc_id where {Q.m('t.text', '^[A-Z]{2,8}' + chr(92) + 'z')}",
+        "term_occurrences": f"""with {aug}, {Q.TOKENS}, term as (select unnest(['audit committee', 'de la']) as term), many as (select doc_id, text, term from doc, term where contains(lower(text), term)),
+            hit as ({Q.matches('many', 'text', "'(?i)" + chr(92) + "b' || term || '" + chr(92) + "b'", 'doc_id, term')}) select doc_id, term, count(*) as n, cast(sum(start) as bigint) as starts from (select doc_id, 'the' as term, start from tok where lower = 'the' union all select doc_id, term, start from hit) group by 1, 2""",
+        "finding_contexts": f"{Q.union()}, {Q.OCCURRENCES} select doc_id, category, key, summary, array_to_string(contexts, chr(10)) as contexts, shown, total, cast(greatest(total - {P.SHOWN}, 0) as int) as more from item",
+        "markdown_report": f"{Q.union()}, {Q.OCCURRENCES}, {Q.MARKDOWN}",
+        "html_report": f"{Q.union()}, {Q.OCCURRENCES}, {Q.html('January 1, 2026')}",
+        "audit_abstracts": Q.audit(f"select doc_id, abstract, found, bounded, cast(words_ as int) as words from ({Q.ABSTRACTS})"),
+        "audit_references": Q.audit("select doc_id, ref_no, id, raw, record_ids, doi, year, title, array_to_string(authors, '; ') as authors, is_institutional, journal, publisher, volume, issue, pages, article_number, parsed from ref", Q.REFERENCES),
+        "audit_duplicates": Q.audit("""select doc_id, "group", array_to_string(ids, ',') as ids, extra from dup""", Q.REFERENCES),
+        "audit_citations": Q.audit("select doc_id, cast(rec_no as int) as rec_no, id, raw, parent_raw, author, second, year, et_al, number, last, n, status, case when status = 'matched' then fit[1] end as ref_id, array_to_string(candidates, ',') as candidates from res", Q.CITATIONS),
+        "audit_issues": Q.audit('select doc_id, rule, spot, id, kind, section, review, problem, action, array_to_string(evidence, chr(124)) as evidence, array_to_string(examples, chr(124)) as examples, correction from iss', Q.issues()),
+        "audit_issue_numbering": Q.audit('select doc_id, id, section, cast(dense_rank() over (partition by doc_id order by section) as int) as "group", cast(row_number() over (partition by doc_id order by section, rule, spot, id) as int) as number from iss', Q.issues()),
+        "audit_comments": Q.audit("""select doc_id, pid as paragraph_id, cast(row_number() over (partition by doc_id order by rec_no) - 1 as int) as comment_id, text from (select n.doc_id, n.pid, z.rec_no, string_agg(t, chr(10) order by number) as text from (select doc_id, problem || ' ' || action as t, coalesce(string_split(evidence[1], '=')[1], 'P0001') as pid, row_number() over (partition by doc_id order by section, rule, spot, id) as number from iss) n join z on z.doc_id = n.doc_id and z.id = n.pid group by 1, 2, 3)""", Q.issues()),
+        "audit_verification": Q.audit(f"select doc_id, id, status, checked, lookup, doi, identity, differences, missing, {Q.REASON} as reason from ver", Q.VERIFICATION),
+        "audit_verification_issues": Q.audit(f'select doc_id, 4 as section, spot, ref, kind, correction from ({Q.VERIFIED_ISSUES})', Q.VERIFICATION),
+        "audit_manual": Q.audit("select doc_id, item, case item when 2 then 'section or comment missing' when 5 then 'no quotation' when 6 then 'quotation not in its paragraph' else case when normal = '' then 'quotation not in its paragraph' when item = 3 then 'unknown DOI' when item = 4 then 'claims verification' end end as error from z, (select unnest(range(1, 7))::int as item) where rec_no = 1"),
+        "audit_summary": Q.audit(f"""select t.doc_id, t.total as words, case when ab.found and ab.bounded and ab.norm_ <> '' then ab.words else -1 end as abstract_words, rf as reference_found, coalesce(r.n, 0) as "references", coalesce(r.uncited, 0) as uncited, coalesce(r.open_, 0) as open_references,
+            coalesce(c.n, 0)::bigint as citations, coalesce(c.unmatched, 0) as unmatched, coalesce(c.unresolved, 0)::bigint as unresolved, coalesce(d.extra, 0)::bigint as duplicates, coalesce(v.n, 0) as verified, coalesce(i.fix, 0)::bigint as corrections, coalesce(i.look, 0)::bigint as reviews, 0::bigint as excluded
+            from total_ t left join ab on ab.doc_id = t.doc_id left join (select doc_id, bool_or(rs is not null) as rf from z group by 1) z on z.doc_id = t.doc_id
+            left join (select r.doc_id, count(*) as n, count(*) filter (parsed and not used and not meant) as uncited, count(*) filter (not parsed or (not used and meant)) as open_ from (select r.doc_id, r.parsed, exists (select 1 from res where res.doc_id = r.doc_id and status = 'matched' and fit[1] = r.id) as used, exists (select 1 from res where res.doc_id = r.doc_id and list_contains(candidates, r.id)) as meant from ref r) r group by 1) r on r.doc_id = t.doc_id
+            left join (select doc_id, sum(n) as n, count(*) filter (status = 'nomatch') as unmatched, coalesce(sum(n) filter (status in ('ambiguous', 'review', 'numeric_style')), 0) as unresolved from res group by 1) c on c.doc_id = t.doc_id
+            left join (select doc_id, sum(extra) as extra from dup group by 1) d on d.doc_id = t.doc_id left join (select doc_id, count(*) as n from ver where status = 'metadata_verified' group by 1) v on v.doc_id = t.doc_id
+            left join (select doc_id, count(*) filter (not review) as fix, count(*) filter (review) as look from (select doc_id, review from iss union all select doc_id, false from ({Q.VERIFIED_ISSUES})) group by 1) i on i.doc_id = t.doc_id""", Q.issues() + Q.VERIFICATION.removeprefix(Q.CITATIONS)),
         "audit_words": Q.audit(f"select doc_id, cast(sum({Q.words('text')}) as bigint) as main, cast(0 as bigint) as extra, cast(sum({Q.words('text')}) as bigint) as total from z group by doc_id"),
         "audit_zones": Q.audit("select doc_id, id, section, in_abstract, in_references, in_article, bounded as abstract_bounded from z"),
         "audit_reference_islands": Q.audit("select doc_id, ref_no, id, raw, record_ids from entry"),
@@ -286,7 +376,7 @@ def oracle_sql() -> dict[str, str]:
             "select doc_id, 'callout-' || type || '-' || digits as id from cap c where not exists (select 1 from z where z.doc_id = c.doc_id and in_article and not exists (select 1 from cap k where k.doc_id = z.doc_id and k.rec_no = z.rec_no)"
             f" and list_contains(regexp_extract_all(z.text, case when c.type = 'Table' then {Q.q(Q.re2(U.CALLOUTS['Table']).replace('(?!' + chr(92) + 'd)', ''))} else {Q.q(Q.re2(U.CALLOUTS['Figure']).replace('(?!' + chr(92) + 'd)', ''))} end, 1), c.digits))"
         ),
-        "audit_caption_numbers": Q.audit("select doc_id, 'caption-duplicate-' || type as id from cap group by doc_id, type having count(*) > count(distinct digits) union all select doc_id, 'caption-sequence-' || type from cap group by doc_id, type having max(cast(digits as hugeint)) <> count(distinct digits) or min(cast(digits as hugeint)) <> 1"),
+        "audit_caption_numbers": Q.audit("select doc_id, 'caption-duplicate-' || type as id from cap group by doc_id, type having count(*) > count(distinct digits) union all select doc_id, 'caption-sequence-' || type from cap group by doc_id, type having max(lpad(digits, 60, '0')) <> lpad(cast(count(distinct digits) as varchar), 60, '0') or min(lpad(digits, 60, '0')) <> lpad('1', 60, '0')"),
         "audit_placeholders": Q.audit(f"select doc_id, 'placeholder-' || id as id, array_to_string(regexp_extract_all(normal, {Q.q(Q.re2(U.PLACEHOLDER))}, 1), '|') as examples from z where {Q.m('normal', Q.re2(U.PLACEHOLDER))}"),
         "audit_blank_dates": Q.audit(f"select doc_id, 'blank-date-' || id as id from z where {Q.m('normal', rf'(?i)\b(?:Received|Revised|Accepted)[{T.WS}]*:[{T.WS}]*(?:(?:[;|][{T.WS}]*)?(?:Received|Revised|Accepted)\b|[;|]?[{T.WS}]*\z)')}"),
         "audit_length_rules": Q.audit(

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from lexaudit.streaming.ingest import stream_findings
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["case_variants", "hyphenation_aug", "identifier_styles_aug", "glossary_hits_aug", "fuzzy_s1", "candidate_phrases", "cosine_pairs", "audit_zones", "audit_callouts", "audit_length_rules"]
+CHECKED = ["case_variants", "hyphenation_aug", "identifier_styles_aug", "glossary_hits_aug", "fuzzy_s1", "candidate_phrases", "cosine_pairs", "finding_contexts", "audit_zones", "audit_callouts", "audit_length_rules", "audit_citations", "audit_issues", "audit_verification"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 
 
