@@ -2,9 +2,10 @@
 
 Documents are dealt out by ranges of doc_id and encoded in ascending order. Each task writes shards
 of up to SHARD_TOKENS ids. Within a shard, rounds of Re-Pair replace frequent id pairs by
-nonterminals: a round counts all adjacent pairs inside documents exactly, takes the most frequent
+nonterminals: a round counts the adjacent pairs inside documents exactly, takes the most frequent
 ones of which none ends with what another begins with (so that occurrences never overlap), and
-replaces every occurrence. Rounds end when no pair occurs LEAST times. A shard is one row of a Parquet table with binary columns:
+replaces every occurrence. Rounds end when no pair occurs LEAST times. A shard is one row of a
+Parquet table with binary columns:
 
     rules     two little-endian symbols for each nonterminal, numbered from `base` on
     lengths   little-endian uint32, the ids that each nonterminal expands to
@@ -31,7 +32,7 @@ from .bpe import END_ID, by_bytes, default_path, encoder
 from .common import Scratch, load, ragged, tune
 
 SHARD_TOKENS = 2_000_000
-RULES_A_ROUND, LEAST = 2500, 8
+RULES_A_ROUND, LEAST = 10_000, 8
 
 SHARD = "shard int, part long, base long, wide boolean, rules binary, lengths binary, symbols binary, alphabet binary, doc_ids binary, doc_null binary, doc_symbols binary, doc_tokens binary"
 
@@ -39,25 +40,36 @@ SHARD = "shard int, part long, base long, wide boolean, rules binary, lengths bi
 def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, most: int = RULES_A_ROUND, least: int = LEAST):
     """(symbols, symbols of each document, rules, expansion length of each rule).
 
-    A pair is no more frequent than the hash slot it falls into, so only pairs of full slots are
-    sorted and counted; documents have no empty sequence, as each ends with an end id.
+    Documents have no empty sequence, as each ends with an end id. Replacing a pair makes new pairs
+    at its place and before it only, and those of older symbols get rarer. So a pair that is not
+    frequent never will be: a round looks at the places of frequent pairs and those next to what
+    the last round replaced. A pair is no more frequent than the hash slot it falls into, so only
+    pairs of full slots are sorted and counted.
     """
-    seq, ends = ids.astype(np.uint32), np.cumsum(doc_tokens)
+    n, ends = len(ids), np.cumsum(doc_tokens)
+    seq, alive, mark = ids.astype(np.uint32), np.ones(n, bool), np.zeros(n, bool)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)  # places of the symbols beside
+    after[ends - 1] = -1  # no pair across documents
+    before[ends - doc_tokens] = -1
     rules, size, span = [np.zeros((0, 2), np.uint32)], base, np.ones(base, np.uint32)
-    while len(seq) > 1:
-        off = np.zeros(len(seq) - 1, bool)
-        off[ends[:-1] - 1] = True  # no pair across documents
-        same = np.flatnonzero((seq[:-1] == seq[1:]) & ~off)
+    at = np.flatnonzero(after >= 0)
+    while len(at):
+        beside = after[at]
+        left, right = seq[at], seq[beside]
+        use = np.ones(len(at), bool)
+        same = np.flatnonzero(left == right)
         if len(same):  # a symbol with itself: every other place of a run, so that occurrences don't overlap
-            run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+            run = np.flatnonzero(np.concatenate([[True], beside[same[:-1]] != at[same[1:]]]))
             nth = np.arange(len(same)) - np.repeat(run, np.diff(run, append=len(same)))
-            off[same[nth % 2 == 1]] = True
-        at = np.flatnonzero(~off)
-        code = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        bits = len(seq).bit_length()
+            use[same[nth % 2 == 1]] = False
+        code = left.astype(np.uint64) << np.uint64(32) | right
+        bits = len(at).bit_length()
         slot_of = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
         slot = slot_of(code)
-        full = np.flatnonzero(np.bincount(slot, minlength=1 << bits)[slot] >= least)
+        full = np.bincount(slot[use], minlength=1 << bits)[slot] >= least
+        mark[:] = False
+        mark[at[full]] = True
+        full &= use
         at, code, slot = at[full], code[full], slot[full]
         ordered = np.sort(code)
         first = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
@@ -68,11 +80,11 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, most: int = RUL
         some = some[np.argsort(-count[some], kind="stable")][: 4 * most]
         found = ordered[first[some]]
         both = np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        left, right, taken = set(), set(), {}
+        firsts, seconds, taken = set(), set(), {}
         for k, ((a, b), own) in enumerate(zip(both.tolist(), slot_of(found).tolist())):
-            if a not in right and b not in left and own not in taken:  # a slot has one rule a round
-                left.add(a)
-                right.add(b)
+            if a not in seconds and b not in firsts and own not in taken:  # a slot has one rule a round
+                firsts.add(a)
+                seconds.add(b)
                 taken[own] = k
                 if len(taken) == most:
                     break
@@ -86,13 +98,20 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, most: int = RUL
         pairs = both[taken]
         rules.append(pairs)
         span = np.concatenate([span, span[pairs[:, 0]] + span[pairs[:, 1]]])
+        gone = after[where]
+        then = after[gone]
         seq[where] = (size + hit).astype(np.uint32)
-        keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        ends = np.cumsum(keep)[ends - 1]
-        seq = seq[keep]
+        alive[gone] = False
+        after[where] = then
+        before[then[then >= 0]] = where[then >= 0]
         size += len(taken)
-    return seq, np.diff(np.concatenate([[0], ends])), np.concatenate(rules), span[base:]
+        mark[where] = True
+        last = before[where]
+        mark[last[last >= 0]] = True
+        mark[gone] = False
+        at = np.flatnonzero(mark)
+        at = at[after[at] >= 0]
+    return seq[alive], np.add.reduceat(alive, ends - doc_tokens, dtype=np.int64) if n else np.zeros(0, np.int64), np.concatenate(rules), span[base:]
 
 
 def narrow(symbols: np.ndarray, rules: np.ndarray, base: int) -> dict:
@@ -109,19 +128,30 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarra
     """The ids of a run of symbols: the rules are expanded once, in their order, then gathered."""
     if not len(rules):
         return symbols.astype(np.uint32)
-    made: list[np.ndarray] = []
-    own = lambda s: made[s - base] if s >= base else np.array([s], np.uint32)
-    for a, b in rules.tolist():
-        made.append(np.concatenate([own(a), own(b)]))
-    flat = np.concatenate(made)
-    lens = np.array([len(x) for x in made])
+    parts = rules.tolist()
+    if lengths is None:
+        size: list[int] = []
+        for a, b in parts:
+            size.append((size[a - base] if a >= base else 1) + (size[b - base] if b >= base else 1))
+        lengths = np.array(size)
+    lens = lengths.astype(np.int64)
     starts = np.cumsum(lens) - lens
+    flat, size, first = np.empty(int(lens.sum()), np.uint32), lens.tolist(), starts.tolist()
+    for k, pair in enumerate(parts):
+        at = first[k]
+        for s in pair:
+            if s < base:
+                flat[at] = s
+                at += 1
+            else:
+                n, own = size[s - base], first[s - base]
+                flat[at : at + n] = flat[own : own + n]
+                at += n
     symbols = symbols.astype(np.int64)
     is_rule = symbols >= base
     which = np.where(is_rule, symbols - base, 0)
     n = np.where(is_rule, lens[which], 1)
-    at = ragged(np.where(is_rule, starts[which], 0), n)
-    out = flat[at]
+    out = flat[ragged(np.where(is_rule, starts[which], 0), n)]
     out[(np.cumsum(n) - n)[~is_rule]] = symbols[~is_rule]
     return out
 
@@ -144,7 +174,7 @@ def read_span(shard: dict, doc: int, start: int, length: int) -> np.ndarray:
     spans[is_rule] = shard["lengths"][own[is_rule] - shard["base"]]
     ends = np.cumsum(spans)
     a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, start + length, side="left") + 1
-    got = expand(own[a:b], shard["rules"], shard["base"])
+    got = expand(own[a:b], shard["rules"], shard["base"], shard["lengths"])
     skip = start - (int(ends[a - 1]) if a else 0)
     return got[skip : skip + length]
 
@@ -153,7 +183,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """Write (doc_id, text) as shards at `path`, in ascending doc_id order over (shard, part).
 
     Null and empty texts are the end id alone; rows that repeat an id are written each, in the order
-    of their texts; ids that are null come first. Other columns are ignored.
+    of their texts; ids that are null come first; an empty table writes no shard. Other columns are
+    ignored.
     """
     tune(docs.sparkSession)
     file = tokenizer or default_path()
@@ -194,7 +225,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                     held = 0
         if counts:
             yield shard()
-        enc.shrink()  # the worker may wait or do other work next
+        enc.rest_now()
 
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, SHARD).write.mode("overwrite").parquet(path)
@@ -216,16 +247,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "shard", "part", "place", "n_tokens", "ids_crc32"],
                 )
 
-    files = spark.read.schema(SHARD).parquet(path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)  # rows are whole shards
-    return files.mapInArrow(run, "doc_id long, shard int, part long, place long, n_tokens long, ids_crc32 long")
+    tune(spark)  # rows are whole shards: batches are bounded by their bytes
+    return spark.read.schema(SHARD).parquet(path).mapInArrow(run, "doc_id long, shard int, part long, place long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "tokens")
-    write_tokens(load(spark, sf_dir, "documents"), scratch.path("ids"))
+    write_tokens(load(spark, sf_dir, "documents"), scratch.path("ids"), shard_tokens=SHARD_TOKENS)
     read = scratch.keep(read_tokens(spark, scratch.path("ids")), "read")
-    tune(spark)
     # ids before each shard: one row a task after the first sum, summed on over the tasks
     by_part = read.groupBy("shard", "part").agg(F.sum("n_tokens").alias("n"))
     by_shard = by_part.groupBy("shard").agg(F.sum("n").alias("n"))
