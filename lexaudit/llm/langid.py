@@ -1,10 +1,11 @@
 """Operator 6: language identification by multinomial naive Bayes over hashed character n-grams.
 
-Training counts come from a bounded sample of labelled rows (SAMPLE rows by smallest hash of the
-id; each sampled text is read whole). Counting is distributed; the driver gets languages x BUCKETS
-sums. The log-probability matrix, whose size depends on languages and BUCKETS only, is broadcast,
-and each batch is scored in numpy: hash every n-gram, gather its row of the matrix, sum by text.
-Where the sample has more than LANGUAGES languages, only the cells it has counts for are kept.
+Training counts come from a bounded sample of labelled rows (an even one of about SAMPLE rows by a
+hash of id and text; each sampled text is read whole). All partitions count, and a shuffle sums
+the counts by language and bucket; the driver gets the cells that have counts, whose number is
+checked. The log-probability matrix is broadcast, and each batch is scored in numpy: hash every
+n-gram, gather its row of the matrix, sum by text. Where the sample has more than LANGUAGES
+languages, the matrix is held by its cells.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, ragged, tune
+from .common import Scratch, load, ragged, release, tune
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Labelled rows that training reads at most.
 SAMPLE = 20_000
-#: Languages of a whole matrix at most; the model of more languages is sparse.
-LANGUAGES = 256
-#: Characters that are hashed at once.
-BLOCK = 1 << 20
+#: Languages of a whole matrix at most; the model of more languages has its cells.
+LANGUAGES = 64
+#: Cells with counts that a model may have, 12 bytes each in every worker.
+CELLS = 8 << 20
+#: Characters that are hashed at once, and numbers that are gathered for them.
+BLOCK, GATHERED = 1 << 20, 4 << 20
 _LATIN = re.compile("[A-Za-z]")
 
 
@@ -53,19 +56,19 @@ def coded(text: str) -> np.ndarray:
     return np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def blocks(texts: list[str]):
+def blocks(texts: list[str], block: int = BLOCK):
     """(code points, their texts): runs of texts, and long texts in blocks that overlap by the longest n-gram less one."""
     run, at, size = [], [], 0
     for i, t in enumerate(texts):
         c = coded(t)
-        if len(c) > BLOCK:
-            for k in range(0, len(c) - max(ORDERS) + 1, BLOCK):
-                yield [c[k : k + BLOCK + max(ORDERS) - 1]], [i]
+        if len(c) > block:
+            for k in range(0, len(c) - max(ORDERS) + 1, block):
+                yield [c[k : k + block + max(ORDERS) - 1]], [i]
             continue
         run.append(c)
         at.append(i)
         size += len(c)
-        if size > BLOCK:
+        if size > block:
             yield run, at
             run, at, size = [], [], 0
     if run:
@@ -74,16 +77,16 @@ def blocks(texts: list[str]):
 
 def text_sums(texts: list[str], table: np.ndarray) -> np.ndarray:
     """Sum of the table's rows over the n-grams of each text."""
-    out = np.zeros((len(texts), table.shape[1]))
-    for run, at in blocks(texts):
+    out, block = np.zeros((len(texts), table.shape[1])), max(1 << 12, min(BLOCK, GATHERED // max(1, table.shape[1])))
+    for run, at in blocks(texts, block):
         codes, lens = np.concatenate(run), np.array([len(c) for c in run])
         first = np.cumsum(lens) - lens
         for n, b in gram_buckets(codes, len(table)):
             got = table[b]
             # in a block of a long text, grams that start in the overlap belong to the next block
             own = np.maximum(lens - n + 1, 0)
-            if len(run) == 1 and len(codes) > BLOCK:
-                own = np.minimum(own, BLOCK)
+            if len(run) == 1 and len(codes) > block:
+                own = np.minimum(own, block)
             for k in range(1, n):  # grams across two texts
                 edge = first[1:] - k
                 got[edge[(edge >= 0) & (edge < len(got))]] = 0
@@ -94,6 +97,23 @@ def text_sums(texts: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_counts(texts: list[str], buckets: int) -> np.ndarray:
+    """How often each bucket has an n-gram of the texts."""
+    out = np.zeros(buckets, np.int64)
+    for run, _ in blocks(texts):
+        codes, lens = np.concatenate(run), np.array([len(c) for c in run])
+        first = np.cumsum(lens) - lens
+        for n, b in gram_buckets(codes, buckets):
+            keep = np.ones(len(b), bool)
+            if len(run) == 1 and len(codes) > BLOCK:  # grams that start in the overlap belong to the next block
+                keep[BLOCK:] = False
+            for k in range(1, n):  # grams across two texts
+                edge = first[1:] - k
+                keep[edge[(edge >= 0) & (edge < len(b))]] = False
+            out += np.bincount(b[keep], minlength=buckets)
+    return out
+
+
 class Cells(NamedTuple):
     """The matrix by its cells with counts: those of bucket b are start[b] .. start[b + 1] - 1."""
 
@@ -105,98 +125,74 @@ class Cells(NamedTuple):
 
     def sums(self, text: str) -> np.ndarray:
         """Log-probability of the text and each language."""
-        buckets = len(self.start) - 1
-        n = np.zeros(buckets, np.int64)
-        for run, _ in blocks([text]):
-            for _, b in gram_buckets(run[0], buckets):
-                n += np.bincount(b[:BLOCK] if len(run[0]) > BLOCK else b, minlength=buckets)
+        n = text_counts([text], len(self.start) - 1)
         own = np.flatnonzero(n)
         size = self.start[own + 1] - self.start[own]
         at = ragged(self.start[own], size)
         return self.prior + n.sum() * self.least + np.bincount(self.lang[at], np.repeat(n[own], size) * self.more[at], len(self.prior))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray | Cells]:
+def train(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, languages: int = LANGUAGES, cells: int = CELLS) -> tuple[list[str], np.ndarray | Cells]:
     """(languages, table of buckets x languages log-probabilities, with the log-priors in one more row).
 
-    More than `languages` languages have Cells for a table.
+    Learns from (doc_id, text, lang) where text and lang are there: all rows up to `sample` of them,
+    or an even sample, of which each language with a letter in some text is learned. More than
+    `languages` languages have Cells for a table; more than `cells` cells with counts are an error.
+    Copies of a row are sampled together; an empty table gives an empty model.
     """
-    tune(docs.sparkSession)
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    total = rows.select("doc_id").where("doc_id is not null").count()
-    # an even sample by hash: the bound holds up to the hash's evenness, and no sort of texts is needed
+    spark = docs.sparkSession
+    tune(spark)
+    rows = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    total = rows.count()
+    # by hash: the bound holds up to the hash's evenness, and no sort of texts is needed
     if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
-    langs = [r.lang for r in rows.select("lang").distinct().collect()]
-    if not langs:
-        return [], np.zeros((buckets + 1, 0))
-    langs.sort()
-    index = {x: i for i, x in enumerate(langs)}
-    if len(langs) > languages:
-        return langs, _cells(rows, index, buckets)
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(6), "doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
 
     def count(batches):
-        grams, texts_of = np.zeros((len(langs), buckets), np.int64), np.zeros(len(langs), np.int64)
         for batch in batches:
-            by = {}
-            for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                if lang in index and has_letter(t):
-                    by.setdefault(index[lang], []).append(t)
-            for i, texts in by.items():
-                texts_of[i] += len(texts)
-                for run, _ in blocks(texts):
-                    for _, b in gram_buckets(np.concatenate(run), buckets):
-                        grams[i] += np.bincount(b, minlength=buckets)
-        for i in range(len(langs)):
-            if texts_of[i]:
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([texts_of[i]], pa.int64()), pa.array([grams[i].astype("<u4").tobytes()], pa.binary())], ["lang", "texts", "grams"])
-
-    grams, texts_of = np.zeros((len(langs), buckets)), np.zeros(len(langs))
-    parts = rows.coalesce(4).mapInArrow(count, "lang int, texts long, grams binary")  # 4 rows a language at most
-    for r in parts.collect():
-        texts_of[r.lang] += r.texts
-        grams[r.lang] += np.frombuffer(r.grams, "<u4")
-    log = np.log(grams + 0.5) - np.log(grams.sum(axis=1, keepdims=True) + 0.5 * buckets)
-    prior = np.log(texts_of + 1) - np.log(texts_of.sum() + len(langs))
-    return langs, np.vstack([log.T, prior])
-
-
-def _cells(rows: DataFrame, index: dict[str, int], buckets: int) -> Cells:
-    def count(batches):
-        for batch in batches:
-            by = {}
+            by: dict[str, list[str]] = {}
             for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 if has_letter(t):
-                    by.setdefault(index[lang], []).append(t)
-            for i, texts in by.items():
-                n = np.zeros(buckets, np.int64)
-                for run, _ in blocks(texts):
-                    for _, b in gram_buckets(np.concatenate(run), buckets):
-                        n += np.bincount(b, minlength=buckets)
-                own = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([len(texts)], pa.int64()), pa.array([own.astype("<u4").tobytes()], pa.binary()), pa.array([n[own].astype("<u4").tobytes()], pa.binary())], ["lang", "texts", "at", "grams"])
-
-    count_of, total, texts_of = {}, np.zeros(len(index)), np.zeros(len(index))
-    for r in rows.coalesce(4).mapInArrow(count, "lang int, texts long, at binary, grams binary").toLocalIterator():
-        texts_of[r.lang] += r.texts
-        count_of.setdefault(r.lang, []).append((np.frombuffer(r.at, "<u4"), np.frombuffer(r.grams, "<u4")))
-    at, lang, more = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
-    for i in sorted(count_of):
-        parts = count_of.pop(i)
-        n = np.bincount(np.concatenate([a for a, _ in parts]), np.concatenate([g for _, g in parts]), buckets)
-        own = np.flatnonzero(n)
-        total[i] = n.sum()
-        at.append(own.astype(np.uint32))
-        lang.append(np.full(len(own), i, np.int32))
-        more.append((np.log(n[own] + 0.5) - np.log(0.5)).astype(np.float32))
-    at = np.concatenate(at)
-    by = np.argsort(at, kind="stable")
-    start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=buckets))])
-    return Cells(start, np.concatenate(lang)[by], np.concatenate(more)[by], np.log(0.5) - np.log(total + 0.5 * buckets), np.log(texts_of + 1) - np.log(texts_of.sum() + len(index)))
+                    by.setdefault(lang, []).append(t)
+            for lang, texts in by.items():
+                n = text_counts(texts, buckets)
+                # one more bucket counts texts
+                at = np.append(np.flatnonzero(n), buckets)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(np.append(n[at[:-1]], len(texts)), pa.int64())], ["lang", "bucket", "n"])
+        release()
+
+    scratch = Scratch(spark, "langid")
+    sums = scratch.keep(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "sums")
+    if sums.count() > cells:
+        raise ValueError(f"the model would have more than {cells} cells: a smaller sample or fewer buckets are needed")
+    got = sums.toArrow()
+    scratch.drop("sums")
+    name = got.column("lang").combine_chunks().dictionary_encode() if got.num_rows else None
+    if name is None:
+        return [], np.zeros((buckets + 1, 0))
+    langs = sorted(name.dictionary.to_pylist())
+    order = {x: i for i, x in enumerate(langs)}
+    lang = np.array([order[x] for x in name.dictionary.to_pylist()])[name.indices.to_numpy()]
+    at, n = got.column("bucket").to_numpy(), got.column("n").to_numpy()
+    is_text = at == buckets
+    texts_of = np.bincount(lang[is_text], n[is_text], len(langs))
+    lang, at, n = lang[~is_text], at[~is_text], n[~is_text]
+    total_of = np.bincount(lang, n, len(langs))
+    prior = np.log(texts_of + 1) - np.log(texts_of.sum() + len(langs))
+    least = np.log(0.5) - np.log(total_of + 0.5 * buckets)
+    more = np.log(n + 0.5) - np.log(0.5)
+    if len(langs) > languages:
+        by = np.lexsort((lang, at))
+        start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=buckets))])
+        return langs, Cells(start, lang[by].astype(np.int32), more[by], least, prior)
+    table = np.tile(least, (buckets + 1, 1))
+    table[at, lang] += more
+    table[-1] = prior
+    return langs, table
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """All columns of docs, with lang_pred and score (posterior probability, 0 to 1).
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list[str] | None = None) -> DataFrame:
+    """All columns of docs (or those named), with lang_pred and score (posterior probability, 0 to 1).
 
     Null texts, texts without a letter and an empty model give `und` and score 0. Columns named
     lang_pred or score are replaced. Rows are independent, so repeated rows and ids don't matter.
@@ -204,7 +200,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     langs, table = model
     tune(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
-    told = docs.sparkSession.sparkContext.broadcast(table if isinstance(table, Cells) else table.astype(np.float32))
+    columns = docs.columns if columns is None else columns
+    told = docs.sparkSession.sparkContext.broadcast(table)  # of `languages` x buckets or `cells` numbers at most
 
     def run(batches):
         table = told.value
@@ -221,9 +218,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 best = p.argmax(axis=1)
                 for i, k, s in zip(at, best, p.max(axis=1)):
                     pred[i], score[i] = langs[k], min(1.0, float(s))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
+        release()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in columns), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out() -> Column:
@@ -234,4 +232,4 @@ def held_out() -> Column:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
