@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import by_bytes
-from .common import Scratch, load, mix, tune
+from .common import Scratch, load, mix, release, tune
 from .shingles import word_hashes
 
 BUCKETS = 1 << 14
@@ -54,6 +54,7 @@ def models(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS, targe
                     if i is not None and len(ids) and ids[min(np.searchsorted(ids, i), len(ids) - 1)] == i:
                         counts[1] += n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets), pa.int32()), pa.array(counts[0]), pa.array(counts[1])], ["bucket", "raw", "target"])
+        release()
 
     sums = docs.select("doc_id", "text").mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -64,7 +65,7 @@ def models(docs: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS, targe
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, n_grams and log_weight of every row."""
+    """doc_id, noise, n_grams and log_weight of every row of (doc_id, text, noise)."""
     told = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
@@ -77,23 +78,26 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                     grams = gram_buckets(words, len(ratio))
                     n.append(len(grams))
                     w.append(float(ratio[grams].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(w, pa.float64())], ["doc_id", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("noise"), pa.array(n, pa.int64()), pa.array(w, pa.float64())], ["doc_id", "noise", "n_grams", "log_weight"])
+        release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    return docs.select("doc_id", "text", "noise").mapInArrow(run, "doc_id long, noise long, n_grams long, log_weight double")
 
 
 def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed: int = 3, k: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_grams, log_weight, gumbel_key, rank (from 1) and selected (rank <= k).
 
-    k is share times the number of rows unless given. Null and empty texts have weight 0. Ties go by
-    doc_id, then number of grams; a null id comes after the others of its key. No target documents
-    make a uniform sample; an empty table gives no rows; other columns are ignored.
+    k is share times the number of rows unless given. Null and empty texts have weight 0. The noise
+    is a hash of the id, or of the text where there is no id, so rows that repeat an id share it. Ties
+    go by doc_id, then number of grams; a null id comes after the others of its key. No target
+    documents make a uniform sample; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "resample")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("noise", F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))))
     scored = weigh(docs, models(docs, target_ids))
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0))), 12) + 0.5) / float(1 << 52)
-    scored = scratch.keep(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "scored")
+    uniform = (F.shiftrightunsigned("noise", 12) + 0.5) / float(1 << 52)
+    scored = scratch.keep(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))).drop("noise"), "scored")
     k = round(share * scored.count()) if k is None else k
     # ranks without a single task: places in range partitions, and a prefix sum over the partitions
     order = [F.desc("gumbel_key"), F.asc_nulls_last("doc_id"), F.asc("n_grams")]
