@@ -9,7 +9,10 @@ banded bit-parallel edit distance, for many pairs at once.
 
 Equal lines are one class before anything is joined. Within a bucket every class is compared with
 the bucket's first indexed class; what links is one component, and just the buckets that still hold
-several components are joined pairwise.
+several components are joined pairwise, large ones in blocks.
+
+A line's place is its number in its text. Where ids repeat, 31 bits of the text's hash stand above
+the number, which tells the texts of an id apart.
 """
 
 from __future__ import annotations
@@ -18,15 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import Scratch, free, load, narrowed, slices, tune
+from .common import Scratch, blocked, free, load, narrowed, release, sampled, slices, tune, with_first
 from .components import components
 
 #: Edits (insertions, deletions, substitutions of characters) between near lines.
 EDITS = 2
-#: Characters of the shortest lines that are compared at all, and with edits; shorter lines are left alone.
-MIN_EXACT, MIN_NEAR = 16, 40
+#: Characters of the shortest lines that are compared with edits; shorter ones are compared by equality.
+#: Two edits change an eighth of such a line at most, and its segments still have 5 characters to select by.
+MIN_NEAR = 16
+#: What lines hold that are compared at all; those of white space alone separate others and stay.
+SHOWN = r"[^ \t\r\f\x0B]"
 
 
 # ---------------------------------------------------------------- verification
@@ -126,15 +131,29 @@ def _keys(edits: int) -> Column:
     return F.array(*own, *more)
 
 
+def tagged(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, text, tag), and whether ids repeat: only then is a tag more than 0."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    repeat = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    return docs.withColumn("tag", F.xxhash64("text").bitwiseAND((1 << 31) - 1) if repeat else F.lit(0).cast("long")), repeat
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """doc_id, place and line of every line of (doc_id, text, tag)."""
+    lines = docs.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", F.shiftleft("tag", 32).bitwiseOR(F.col("line_no").cast("long")).alias("place"), "line")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, line_no, line of the wanted (doc_id, line_no)."""
-    by = wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("line_nos"))
-    got = narrowed(docs.select("doc_id", "text"), by).select("doc_id", "line_nos", F.split("text", "\n").alias("parts"))
-    return got.select("doc_id", F.explode(F.transform("line_nos", lambda k: F.struct(k.alias("line_no"), F.try_element_at("parts", k + 1).alias("line")))).alias("x")).select("doc_id", "x.line_no", "x.line").where("line is not null")
+def _line_no(place: Column) -> Column:
+    return place.bitwiseAND((1 << 31) - 1).cast("int")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, repeat: bool, scratch: Scratch, rows: int) -> DataFrame:
+    """doc_id, place, line of the wanted (doc_id, place)."""
+    by = scratch.keep(wanted.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "wanted", rows)
+    got = narrowed(docs, by).select("doc_id", F.filter("places", lambda p: F.shiftright(p, 32) == F.col("tag")).alias("places"), F.split("text", "\n").alias("parts"))
+    got = got.select("doc_id", F.explode(F.transform("places", lambda p: F.struct(p.alias("place"), F.get("parts", _line_no(p)).alias("line")))).alias("x")).select("doc_id", "x.place", "x.line").where("line is not null")
+    return got.dropDuplicates(["doc_id", "place"]) if repeat else got
 
 
 def bigram_parity(lines: list[str]) -> np.ndarray:
@@ -151,101 +170,118 @@ def bigram_parity(lines: list[str]) -> np.ndarray:
 def _parities(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, ["line"])):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line_no"), pa.array(bigram_parity(batch.column("line").to_pylist()))], ["doc_id", "line_no", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(bigram_parity(batch.column("line").to_pylist()))], ["doc_id", "place", "parity"])
+        release()
 
-    return texts.select("doc_id", "line_no", "line").mapInArrow(run, "doc_id long, line_no int, parity long")
+    return texts.select("doc_id", "place", "line").mapInArrow(run, "doc_id long, place long, parity long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, ["x", "y"])):
             ok = within(batch.column("x").to_pylist(), batch.column("y").to_pylist(), edits)
-            yield batch.select(["a_doc", "a_line", "b_doc", "b_line"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a_doc", "a_place", "b_doc", "b_place"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
-    side = lambda x, t: texts.select(F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("line").alias(t))
-    both = pairs.join(side("a", "x"), ["a_doc", "a_line"]).join(side("b", "y"), ["b_doc", "b_line"])
-    return both.select("a_doc", "a_line", "b_doc", "b_line", "x", "y").mapInArrow(run, "a_doc long, a_line int, b_doc long, b_line int")
+    side = lambda x, t: texts.select(F.col("doc_id").alias(f"{x}_doc"), F.col("place").alias(f"{x}_place"), F.col("line").alias(t))
+    both = pairs.join(side("a", "x"), ["a_doc", "a_place"]).join(side("b", "y"), ["b_doc", "b_place"])
+    return both.select("a_doc", "a_place", "b_doc", "b_place", "x", "y").mapInArrow(run, "a_doc long, a_place long, b_doc long, b_place long")
 
 
-def _node(doc: str, line: str):
-    return F.struct(F.col(doc).alias("doc_id"), F.col(line).alias("line_no"))
+def _node(doc: str, place: str) -> Column:
+    return F.struct(F.col(doc).alias("doc_id"), F.col(place).alias("place"))
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, min_exact: int = MIN_EXACT, min_near: int = MIN_NEAR) -> DataFrame:
-    """(doc_id, line_no, first_doc, first_line) of every line that is not the first of its class.
+def repeated_lines(docs: DataFrame, repeat: bool, edits: int = EDITS, min_near: int = MIN_NEAR) -> DataFrame:
+    """(doc_id, place, first_doc, first_place) of every line of (doc_id, text, tag) that is not the first of its class.
 
     A class is a component of lines linked by at most `edits` edits (lines of min_near characters or
-    more) or equality (of min_exact or more); first is by doc_id, then line_no. Null texts have no
-    lines; rows that repeat an id are one document; rows without an id take part by equality only, and are
-    first only where no line of the class has an id.
+    more) or equality (any that show something); first is by doc_id, then place. Null texts have no
+    lines; rows that repeat an id and its text are one document; rows without an id take part by
+    equality only, and are first only where no line of the class has an id.
     """
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(spark, "lines")
     # one shuffle for classes and keys; copies of a line meet before it
-    lines = lines_of(docs).withColumn("len", F.length("line")).where(F.col("len") >= min_exact).select("doc_id", "line_no", *_identity("line"), F.when(F.col("len") >= min_near, _keys(edits)).alias("keys"))
-    place = F.struct("doc_id", "line_no")
-    first = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), place)), F.min(place))
+    lines = lines_of(docs).where(F.col("line").rlike(SHOWN)).withColumn("len", F.length("line"))
+    lines = lines.select("doc_id", "place", *_identity("line"), F.when(F.col("len") >= max(min_near, edits + 1), _keys(edits)).alias("keys"))
+    at = F.struct("doc_id", "place")
+    first = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), at)), F.min(at))
     classes = lines.groupBy("h1", "h2", "len").agg(first.alias("first"), F.count("*").alias("copies"), F.first("keys", ignorenulls=True).alias("keys"))
     classes = scratch.keep(classes, "classes")
     free(spark)
-    keyed = classes.where("first.doc_id is not null").select("first.doc_id", "first.line_no", F.posexplode("keys").alias("at", "key")).select("key", (F.col("at") > edits).cast("int").alias("probe"), "doc_id", "line_no")
-    w = W.partitionBy("key").orderBy("probe", "doc_id", "line_no")
-    run = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = keyed.withColumns({"p_probe": F.first("probe").over(run), "p_doc": F.first("doc_id").over(run), "p_line": F.first("line_no").over(run), "next": F.lead("doc_id").over(w)})
-    other = (F.col("p_doc") != F.col("doc_id")) | (F.col("p_line") != F.col("line_no"))
-    shared = scratch.keep(rows.where((F.col("p_probe") == 0) & (other | F.col("next").isNotNull())).drop("p_probe", "next"), "shared")
+    indexed = classes.where("first.doc_id is not null")
+    keyed = lambda df: df.select("first.doc_id", "first.place", F.posexplode("keys").alias("at", "key")).select("key", (F.col("at") > edits).cast("int").alias("probe"), "doc_id", "place")
+    shared = with_first(keyed(indexed), keyed(sampled(indexed, F.col("first"))), ["probe", "doc_id", "place"], scratch, "keys").where("p_probe = 0")
+    shared = scratch.keep(shared.drop("p_probe").withColumnsRenamed({"p_doc_id": "p_doc"}), "shared")
     free(spark)
+    n = shared.count()
 
-    swap = _node("p_doc", "p_line") < _node("doc_id", "line_no")
+    swap = _node("p_doc", "p_place") < _node("doc_id", "place")
     pick = lambda a, b: F.when(swap, F.col(a)).otherwise(F.col(b))
-    stars = shared.where(other).select(pick("p_doc", "doc_id").alias("a_doc"), pick("p_line", "line_no").alias("a_line"), pick("doc_id", "p_doc").alias("b_doc"), pick("line_no", "p_line").alias("b_line")).distinct()
-    stars = scratch.keep(stars, "stars")
-    ends = lambda p: p.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).unionByName(p.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no"))).distinct()
-    texts = scratch.keep(_texts(docs, ends(stars)), "star_texts")
-    links = scratch.keep(_verified(stars, texts, edits), "star_links")
+    paired = lambda df: df.select(pick("p_doc", "doc_id").alias("a_doc"), pick("p_place", "place").alias("a_place"), pick("doc_id", "p_doc").alias("b_doc"), pick("place", "p_place").alias("b_place")).distinct()
+    stars = scratch.keep(paired(shared.where(_node("p_doc", "p_place") != _node("doc_id", "place"))), "stars", n)
+    ends = stars.select(F.col("a_doc").alias("doc_id"), F.col("a_place").alias("place")).unionByName(stars.select(F.col("b_doc").alias("doc_id"), F.col("b_place").alias("place"))).distinct()
+    n_stars = stars.count()
+    texts = scratch.keep(_texts(docs, ends, repeat, scratch, n_stars), "star_texts")
+    links = scratch.keep(_verified(stars, texts, edits), "star_links", n_stars, 10_000)
     free(spark)
-    edges = lambda p: p.select(_node("a_doc", "a_line").alias("u"), _node("b_doc", "b_line").alias("v"))
-    found = scratch.keep(components(edges(links), scratch, "star"), "star_components")
+    edges = lambda p: p.select(_node("a_doc", "a_place").alias("u"), _node("b_doc", "b_place").alias("v"))
+    n_links = links.count()
+    found = scratch.keep(components(edges(links), scratch, "star"), "star_components", 2 * n_links)
 
     # buckets in which a class is apart from the pivot's component, pairwise: an indexed line and any other
-    rest = shared.withColumn("node", _node("doc_id", "line_no")).join(found.withColumnRenamed("component", "c"), "node", "left")
-    rest = rest.withColumn("pivot", _node("p_doc", "p_line")).join(found.select(F.col("node").alias("pivot"), F.col("component").alias("p")), "pivot", "left")
-    rest = rest.select("key", "probe", "doc_id", "line_no", F.coalesce("c", "node").alias("c"), F.coalesce("p", "pivot").alias("p"))
-    rest = scratch.keep(rest.join(rest.where("c <> p").select("key").distinct(), "key", "left_semi").drop("p"), "rest")
+    rest = shared.withColumn("node", _node("doc_id", "place")).join(found.withColumnRenamed("component", "c"), "node", "left")
+    rest = rest.withColumn("pivot", _node("p_doc", "p_place")).join(found.select(F.col("node").alias("pivot"), F.col("component").alias("p")), "pivot", "left")
+    rest = rest.select("key", "probe", "doc_id", "place", F.coalesce("c", "node").alias("c"), F.coalesce("p", "pivot").alias("p"))
+    apart = scratch.keep(rest.where("c <> p").select("key").distinct(), "apart", n)
+    rest = scratch.keep(rest.join(apart, "key", "left_semi").drop("p"), "rest", n)
     # parities decide within the join, so it puts out no more than pairs that may well link
-    rest = rest.join(_parities(texts), ["doc_id", "line_no"])
-    x = rest.where("probe = 0").select("key", F.col("doc_id").alias("p_doc"), F.col("line_no").alias("p_line"), F.col("c").alias("c_p"), F.col("parity").alias("parity_p"))
-    pairs = x.join(rest, "key").where((F.col("c") != F.col("c_p")) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_p"))) <= 4 * edits)).select(pick("p_doc", "doc_id").alias("a_doc"), pick("p_line", "line_no").alias("a_line"), pick("doc_id", "p_doc").alias("b_doc"), pick("line_no", "p_line").alias("b_line")).distinct()
-    pairs = scratch.keep(pairs.join(stars, ["a_doc", "a_line", "b_doc", "b_line"], "left_anti"), "pairs")
-    if pairs.limit(1).count():
-        more = scratch.keep(_verified(pairs, texts, edits), "pair_links")  # all ends of pairs are ends of stars
-        if more.limit(1).count():
-            found = scratch.keep(components(edges(links.unionByName(more)), scratch, "all"), "components")
+    rest = blocked(rest, "key", F.struct("doc_id", "place"), scratch, "rest").join(_parities(texts), ["doc_id", "place"])
+    x = rest.where("probe = 0").select("key", "cell", F.col("side").alias("side_p"), F.col("doc_id").alias("p_doc"), F.col("place").alias("p_place"), F.col("c").alias("c_p"), F.col("parity").alias("parity_p"))
+    once = (F.col("side") == 2) | (F.col("side") != F.col("side_p"))
+    pairs = paired(x.join(rest, ["key", "cell"]).where(once & (F.col("c") != F.col("c_p")) & (F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_p"))) <= 4 * edits)))
+    pairs = scratch.keep(pairs.join(stars, ["a_doc", "a_place", "b_doc", "b_place"], "left_anti"), "pairs")
+    scratch.drop("shared", "rest", "apart")
+    if n_pairs := pairs.count():
+        more = scratch.keep(_verified(pairs, texts, edits), "pair_links", n_pairs, 10_000)  # all ends of pairs are ends of stars
+        if n_more := more.count():
+            found = scratch.keep(components(edges(links.unionByName(more)), scratch, "all"), "components", 2 * (n_links + n_more))
     free(spark)
 
     # classes whose lines are not all first
     head = classes.join(found.select(F.col("node").alias("first"), "component"), "first", "left").withColumn("head", F.coalesce("component", "first"))
     head = scratch.keep(head.where((F.col("copies") > 1) | (F.col("head") != F.col("first"))).select("h1", "h2", "len", "head"), "heads")
-    gone = lines.drop("keys").join(head, ["h1", "h2", "len"]).where(~_node("doc_id", "line_no").eqNullSafe(F.col("head")))
-    return scratch.keep(gone.select("doc_id", "line_no", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line")), "repeated")
+    gone = lines.drop("keys").join(head, ["h1", "h2", "len"]).where(~_node("doc_id", "place").eqNullSafe(F.col("head")))
+    gone = scratch.keep(gone.select("doc_id", "place", F.col("head.doc_id").alias("first_doc"), F.col("head.place").alias("first_place")), "repeated")
+    scratch.drop(*(x for x in scratch.labels() if x != "repeated"))
+    return gone
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_exact: int = MIN_EXACT, min_near: int = MIN_NEAR) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_near: int = MIN_NEAR) -> DataFrame:
     """All rows and columns of docs, the text without repeated lines, plus n_lines and removed.
 
     removed: array of (line_no, first_doc, first_line), by line_no. A text that loses all its lines
-    is empty; a null text stays null with 0 lines; an empty text has one (empty, kept) line. Columns
-    named n_lines or removed are replaced.
+    is empty; a null text stays null with 0 lines; an empty text has one (empty, kept) line. Rows
+    that repeat an id and its text lose the same lines; texts that share an id are documents of
+    their own, in an order of their hashes; rows without an id are compared by equality only.
+    Columns named n_lines or removed are replaced; an empty table gives no rows.
     """
-    gone = repeated_lines(docs, edits, min_exact, min_near)
-    gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line_no", "first_doc", "first_line"))).alias("removed"))
+    texts, repeat = tagged(docs)
+    gone = repeated_lines(texts, repeat, edits, min_near)
+    gone = gone.select("doc_id", F.shiftright("place", 32).alias("tag"), F.struct(_line_no(F.col("place")).alias("line_no"), "first_doc", _line_no(F.col("first_place")).alias("first_line")).alias("x"))
+    gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("tag").alias("_gone_tag")).agg(F.sort_array(F.collect_set("x")).alias("removed"))
     docs = docs.drop("n_lines", "removed")
-    out = docs.join(gone.withColumnRenamed("doc_id", "_id"), docs.doc_id.eqNullSafe(F.col("_id")), "left").drop("_id")
+    same = docs.doc_id.cast("long").eqNullSafe(F.col("_gone_id"))
+    if repeat:
+        same &= F.xxhash64(docs.text).bitwiseAND((1 << 31) - 1) == F.col("_gone_tag")
+    out = docs.join(gone, same, "left").drop("_gone_id", "_gone_tag")
     parts = F.split("text", "\n")
     numbers = F.transform("removed", lambda r: r.line_no)
-    kept = F.array_join(F.filter(parts, lambda _, k: ~F.array_contains(numbers, k)), "\n")
+    # the runs of lines between removed ones, so that long texts take linear time
+    runs = F.zip_with(F.concat(F.array(F.lit(0)), F.transform(numbers, lambda k: k + 1)), F.concat(numbers, F.array(F.size(parts))), lambda a, b: F.slice(parts, a + 1, b - a))
+    kept = F.array_join(F.flatten(runs), "\n")
     return out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), "text": F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept), "removed": F.coalesce("removed", F.array().cast("array<struct<line_no:int,first_doc:bigint,first_line:int>>"))})
 
 
@@ -256,7 +292,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 with recursive l as (select doc_id, unnest(range(len(p))) as k, unnest(p) as t from (select doc_id, string_split(text, chr(10)) as p from documents where text is not null)),
-c as (select t, min((doc_id, k)) as first, length(t) as n from l where length(t) >= {MIN_EXACT} group by t),
+c as (select t, min((doc_id, k)) as first, length(t) as n from l where regexp_matches(t, '{SHOWN}') group by t),
 e as (select a.first as u, b.first as v from c a join c b on a.n >= {MIN_NEAR} and b.n >= {MIN_NEAR} and b.n - a.n between 0 and {EDITS} and a.first <> b.first
     where (contains(b.t, a.t[1 : a.n // 3]) or contains(b.t, a.t[a.n // 3 + 1 : 2 * (a.n // 3)]) or contains(b.t, a.t[2 * (a.n // 3) + 1 : a.n])) and levenshtein(a.t, b.t) <= {EDITS}),
 s as (select u, v from e union select v, u from e),
