@@ -1,18 +1,20 @@
 """Operator 5: n-gram Jaccard join by parity sketches.
 
-Documents of similar size share a band. In a band the hash space is dealt into P parts, one more
-than the largest symmetric difference a linked pair of the band can have; every shingle flips one
-bit of its part, so the Hamming distance of two sketches never exceeds the symmetric difference,
-and at least one part of a linked pair is equal (pigeonhole). A document need not emit all parts:
+Documents of similar size share a band. In a band the hash space is dealt into more parts than the
+largest symmetric difference a linked pair of the band can have; every shingle flips one bit of its
+part, so the Hamming distance of two sketches never exceeds the symmetric difference, and at least
+some parts of a linked pair are equal (pigeonhole). A document need not emit all parts:
 in one order of parts that depends on their content alone, a pair's first equal part is among the
 first D + 1 of either document, D being the largest difference it can have with a partner. Parts
 with many rare shingles come first; which shingles count as frequent is read off a bounded sample
-and affects the cost alone, not the result.
+and affects the cost alone, not the result. Empty parts, which strangers share, come last: so many
+parts leave hardly a document with fewer than D + 1 others.
 
 Equal sets are one class from the start. Within a part's bucket every class is compared with the
 bucket's smallest id only; what links is one component, and just the buckets that still hold
-several components are joined pairwise. A dense sketch of every document, carried along, rejects
-pairs by the same lower bound before their sets are read and compared exactly.
+several components are joined pairwise, large ones in blocks. A dense sketch of every document,
+carried along, rejects pairs by the same lower bound before their sets are read and compared. Sets
+are compared by 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -21,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .bpe import by_bytes
-from .common import Scratch, free, load, mix, narrowed, slices, tune
+from .common import Scratch, blocked, free, load, mix, narrowed, release, sampled, slices, tune, with_first
 from .components import components
 from .shingles import shingle_sets
 
@@ -32,8 +33,8 @@ from .shingles import shingle_sets
 PERCENT = 80
 #: Largest set size of each band.
 BAND = [4 * 4**k for k in range(16)]
-#: Bits of a part, and 64-bit words of the dense sketch.
-PART_BITS = 16
+#: Bits of a part, least parts of a band, and 64-bit words of the dense sketch.
+PART_BITS, LEAST_PARTS = 16, 33
 DENSE = 8
 #: Documents and shingles of the frequency sample; frequent: in so many sampled documents.
 SAMPLE_DOCS, SAMPLE_SHINGLES, FREQUENT = 5000, 100_000, 4
@@ -56,7 +57,7 @@ def signatures(h: np.ndarray, frequent: np.ndarray) -> list[np.ndarray]:
             continue
         # D for J >= 0.8: (|A| + |B|) / 9, with |B| <= 1.25 |A| in the own band, |B| <= BAND[k] below it
         need = (n // 4 if k == band else (n + BAND[k]) // 9) + 1
-        parts = np.uint64(BAND[k] // 4 + 1)
+        parts = np.uint64(max(3 * BAND[k] // 10 + 1, LEAST_PARTS))
         salt = np.uint64((k + 1) << 56)
         part = ((h >> np.uint64(32)) * parts) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -115,6 +116,7 @@ def describe(docs: DataFrame) -> DataFrame:
                     [ids[a:b], pa.array([len(h) for h in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(sketch) + 1, DENSE), pa.int32()), pa.array(sketch)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))],
                     ["doc_id", "n", "s1", "s2", "sketch", "keys"],
                 )
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch array<long>, keys array<long>")
 
@@ -128,6 +130,8 @@ def _near_sketch(pairs: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and sorted shingle hashes of the documents in `ids`, a kept table."""
+
     def run(batches):
         for batch in batches:
             texts, own = batch.column("text").to_pylist(), batch.column("doc_id").cast(pa.int64())
@@ -167,53 +171,63 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     told = scratch.keep(describe(docs), "sets")
     full = told.where("n > 0")
     classes = scratch.keep(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    copies = full.join(classes.where("copies > 1").drop("copies"), ["s1", "s2", "n"]).where("doc_id <> rep").select("s1", "s2", "n", "doc_id")
-    single = full.where("doc_id is not null").join(copies, ["s1", "s2", "n", "doc_id"], "left_anti")
-    # an id that is repeated links the classes of its texts
-    repeated = full.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    own = copies.join(repeated, "doc_id", "left_semi").join(classes, ["s1", "s2", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    own = scratch.keep(own, "own")
-    info = scratch.keep(single.select("doc_id", "n", "sketch"), "info")
-
-    # buckets: a running first needs no buffer, however many classes share a bucket
-    w = W.partitionBy("key").orderBy("doc_id")
-    first = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = single.select(F.explode("keys").alias("key"), "doc_id", "n").withColumns({"pivot": F.first("doc_id").over(first), "pivot_n": F.first("n").over(first), "next": F.lead("doc_id").over(w)})
-    shared = scratch.keep(rows.where("pivot <> doc_id or next is not null").drop("next"), "shared")
+    copies = lambda f: f.join(classes.where("copies > 1").drop("copies"), ["s1", "s2", "n"]).where("doc_id <> rep").select("s1", "s2", "n", "doc_id")
+    single = full.where("doc_id is not null").join(copies(full), ["s1", "s2", "n", "doc_id"], "left_anti")
+    info = scratch.keep(single.select("doc_id", "n", "sketch", "keys"), "info")
+    told = scratch.keep(told.select("doc_id", "n", "s1", "s2"), "ids")
+    full = told.where("n > 0")
+    scratch.drop("sets")
+
+    rows = lambda df: df.select(F.explode("keys").alias("key"), "doc_id", "n")
+    shared = scratch.keep(with_first(rows(info), rows(sampled(info, F.col("doc_id"))), ["doc_id", "n"], scratch, "keys"), "shared")
     free(spark)
-    fits = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * PERCENT
-    stars = shared.where((F.col("pivot") != F.col("doc_id")) & fits).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    n = shared.count()
+    fits = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * PERCENT
+    stars = shared.where((F.col("p_doc_id") != F.col("doc_id")) & fits).select(F.col("p_doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = scratch.keep(_near_sketch(stars, info), "stars")
     ids = lambda p: p.select(F.col("a").alias("doc_id")).unionByName(p.select(F.col("b").alias("doc_id"))).distinct()
-    sets = scratch.keep(_sets(docs, ids(stars)), "star_sets")
-    links = scratch.keep(_linked(stars, sets).unionByName(own), "star_links")
+    n_stars = stars.count()
+    sets = scratch.keep(_sets(docs, scratch.keep(ids(stars), "star_ids", n_stars)), "star_sets")
+    links = scratch.keep(_linked(stars, sets), "star_links", n_stars, 1000)
+    # an id that is repeated links the classes of its texts
+    repeated = full.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    own = copies(full).join(repeated, "doc_id", "left_semi").join(classes, ["s1", "s2", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = links.unionByName(scratch.keep(own, "own"))
     free(spark)
-    found = scratch.keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "star"), "star_components")
+    edges = lambda p: p.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = scratch.keep(components(edges(links), scratch, "star"), "star_components", 2 * links.count())
 
     # buckets in which a class is apart from the pivot's component, pairwise
     of = lambda c, x: found.select(F.col("node").alias(c), F.col("component").alias(x))
-    rest = shared.join(of("doc_id", "c"), "doc_id", "left").join(of("pivot", "p"), "pivot", "left").select("key", "doc_id", "n", F.coalesce("c", "doc_id").alias("c"), F.coalesce("p", "pivot").alias("p"))
-    rest = scratch.keep(rest.join(rest.where("c <> p").select("key").distinct(), "key", "left_semi").drop("p"), "rest")
+    rest = shared.join(of("doc_id", "c"), "doc_id", "left").join(of("p_doc_id", "p"), "p_doc_id", "left").select("key", "doc_id", "n", F.coalesce("c", "doc_id").alias("c"), F.coalesce("p", "p_doc_id").alias("p"))
+    apart = scratch.keep(rest.where("c <> p").select("key").distinct(), "apart", n)
+    rest = scratch.keep(rest.join(apart, "key", "left_semi").drop("p"), "rest", n)
     # the sketches decide within the join, so it puts out no more than pairs that may well link
     bits = [F.get("sketch", k).alias(f"k{k}") for k in range(DENSE)]
-    known = rest.join(info.select("doc_id", *bits), "doc_id")
-    x, y = (known.select(*(F.col(c).alias(f"{c}_{i}") for c in ("key", "doc_id", "n", "c", *(f"k{k}" for k in range(DENSE))))) for i in "ab")
+    known = blocked(rest, "key", F.col("doc_id"), scratch, "rest").join(info.select("doc_id", *bits), "doc_id")
+    x, y = (known.select("key", "cell", *(F.col(c).alias(f"{c}_{i}") for c in ("side", "doc_id", "n", "c", *(f"k{k}" for k in range(DENSE))))) for i in "ab")
+    once = ((F.col("side_a") == 2) & (F.col("doc_id_a") < F.col("doc_id_b"))) | ((F.col("side_a") == 0) & (F.col("side_b") == 1))
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    apart = sum((F.bit_count(F.col(f"k{k}_a").bitwiseXOR(F.col(f"k{k}_b"))) for k in range(DENSE)), F.lit(0))
-    pairs = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("c_a") != F.col("c_b")) & near & (apart * 9 <= F.col("n_a") + F.col("n_b")))
-    pairs = scratch.keep(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    missing = ids(pairs).join(sets.select("doc_id"), "doc_id", "left_anti")
-    sets = sets.unionByName(scratch.keep(_sets(docs, missing), "pair_sets")) if pairs.limit(1).count() else sets
-    more = scratch.keep(_linked(pairs, sets), "pair_links")
+    far = sum((F.bit_count(F.col(f"k{k}_a").bitwiseXOR(F.col(f"k{k}_b"))) for k in range(DENSE)), F.lit(0))
+    pairs = x.join(y, ["key", "cell"]).where(once & (F.col("c_a") != F.col("c_b")) & near & (far * 9 <= F.col("n_a") + F.col("n_b")))
+    pairs = pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = scratch.keep(pairs, "pairs")
+    scratch.drop("shared", "rest", "apart")
+    if n_pairs := pairs.count():
+        missing = scratch.keep(ids(pairs).join(sets.select("doc_id"), "doc_id", "left_anti"), "pair_ids", 2 * n_pairs)
+        sets = sets.unionByName(scratch.keep(_sets(docs, missing), "pair_sets"))
+        more = scratch.keep(_linked(pairs, sets), "pair_links", n_pairs, 1000)
+        if n_more := more.count():
+            found = scratch.keep(components(edges(links.unionByName(more)), scratch, "all"), "components", 2 * (links.count() + n_more))
     free(spark)
-    both = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    found = scratch.keep(components(both, scratch, "all"), "components") if more.limit(1).count() else found
-    scratch.drop("shared", "rest", "star_sets", "pair_sets")
 
     # back to all rows: class, then component; ids repeated with other texts link through the id
     rep = classes.select("s1", "s2", "n", "rep")
     out = told.select("doc_id", "n", "s1", "s2").join(rep, ["s1", "s2", "n"], "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = scratch.keep(out, "result")
+    scratch.drop(*(x for x in scratch.labels() if x != "result"))
+    return out
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
