@@ -37,3 +37,11 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         stream_findings(docs, str(tmp_path / "out"), str(tmp_path / "state"), checks={"hyphenation"}).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_letters_plan_reads_tables(spark):
+    """The steps of a letter are tables: what is planned last is small and computes none of them anew."""
+    letters = entry.queries()["audit_letters"](spark, DATA)
+    plan = letters._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and not any(x in plan for x in ("InMemoryRelation", "Join", "Aggregate", "Window"))
+    assert letters.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
