@@ -56,20 +56,26 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, most: int = RUL
     while len(at):
         beside = after[at]
         left, right = seq[at], seq[beside]
-        use = np.ones(len(at), bool)
+        use = None
         same = np.flatnonzero(left == right)
         if len(same):  # a symbol with itself: every other place of a run, so that occurrences don't overlap
             run = np.flatnonzero(np.concatenate([[True], beside[same[:-1]] != at[same[1:]]]))
             nth = np.arange(len(same)) - np.repeat(run, np.diff(run, append=len(same)))
+            use = np.ones(len(at), bool)
             use[same[nth % 2 == 1]] = False
-        code = left.astype(np.uint64) << np.uint64(32) | right
+        code = left.astype(np.uint64)
+        code <<= np.uint64(32)
+        code |= right
+        del beside, left, right
         bits = len(at).bit_length()
-        slot_of = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        slot_of = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
         slot = slot_of(code)
-        full = np.bincount(slot[use], minlength=1 << bits)[slot] >= least
+        full = (np.bincount(slot if use is None else slot[use], minlength=1 << bits) >= least)[slot]  # flags are small to look up
         mark[:] = False
-        mark[at[full]] = True
-        full &= use
+        mark[at] = full
+        if use is not None:
+            full &= use
+        full = np.flatnonzero(full)
         at, code, slot = at[full], code[full], slot[full]
         ordered = np.sort(code)
         first = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
@@ -125,35 +131,37 @@ def narrow(symbols: np.ndarray, rules: np.ndarray, base: int) -> dict:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
-    """The ids of a run of symbols: the rules are expanded once, in their order, then gathered."""
+    """The ids of a run of symbols: the rules are expanded once, in their order, then gathered.
+
+    Rules up to the first that needs one of them are expanded together."""
     if not len(rules):
         return symbols.astype(np.uint32)
-    parts = rules.tolist()
+    newest = np.maximum.accumulate(rules.max(axis=1).astype(np.int64) - base)
+    waves = [0]
+    while waves[-1] < len(rules):
+        waves.append(int(np.searchsorted(newest, waves[-1])))
     if lengths is None:
-        size: list[int] = []
-        for a, b in parts:
-            size.append((size[a - base] if a >= base else 1) + (size[b - base] if b >= base else 1))
-        lengths = np.array(size)
-    lens = lengths.astype(np.int64)
-    starts = np.cumsum(lens) - lens
-    flat, size, first = np.empty(int(lens.sum()), np.uint32), lens.tolist(), starts.tolist()
-    for k, pair in enumerate(parts):
-        at = first[k]
-        for s in pair:
-            if s < base:
-                flat[at] = s
-                at += 1
-            else:
-                n, own = size[s - base], first[s - base]
-                flat[at : at + n] = flat[own : own + n]
-                at += n
-    symbols = symbols.astype(np.int64)
-    is_rule = symbols >= base
-    which = np.where(is_rule, symbols - base, 0)
-    n = np.where(is_rule, lens[which], 1)
-    out = flat[ragged(np.where(is_rule, starts[which], 0), n)]
-    out[(np.cumsum(n) - n)[~is_rule]] = symbols[~is_rule]
-    return out
+        lens = np.zeros(len(rules), np.int64)
+        for k, stop in zip(waves[:-1], waves[1:]):
+            own = rules[k:stop].astype(np.int64) - base
+            lens[k:stop] = np.where(own >= 0, lens[own * (own >= 0)], 1).sum(axis=1)
+    else:
+        lens = lengths.astype(np.int64)
+    stops = np.cumsum(lens)
+    flat = np.empty(int(stops[-1]), np.uint32)
+
+    def gathered(symbols: np.ndarray) -> np.ndarray:
+        which = symbols.astype(np.int64) - base
+        is_id = which < 0
+        which[is_id] = 0
+        n = np.where(is_id, 1, lens[which])
+        out = flat[ragged(np.where(is_id, 0, stops[which] - lens[which]), n)]
+        out[(np.cumsum(n) - n)[is_id]] = symbols[is_id]
+        return out
+
+    for k, stop in zip(waves[:-1], waves[1:]):
+        flat[stops[k] - lens[k] : stops[stop - 1]] = gathered(rules[k:stop].ravel())
+    return gathered(symbols)
 
 
 def unpack(row: dict) -> dict:

@@ -296,6 +296,41 @@ def test_repair_leaves_no_frequent_pair():
     assert max(count.values()) < tokens.LEAST
 
 
+def test_a_word_is_encoded_once_whatever_follows_it():
+    class Model:
+        def __init__(self, model):
+            self.model, self.calls = model, []
+
+        def tokenize(self, word):
+            self.calls.append(word)
+            return self.model.tokenize(word)
+
+    class Counted:
+        def __init__(self, tok):
+            self.tok, self.model = tok, Model(tok.model)
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+    enc = bpe.ChunkEncoder(bpe.default_path())
+    enc.tok = Counted(enc.tok)
+    texts = ["a quirkword\nquirkword z", None, "a quirkword, (quirkword quirkword!? quirkword.\nquirkword;' quirkword's quirkword''' b", "", "a  quirkword%%% \n quirkword\t", "éa漢-- é漢 é漢-- é漢,\x00"]
+    for own in (texts[:2], texts[2:]):
+        flat, n = enc.encode(own)
+        want = [enc.tok.tok.encode(t or "", add_special_tokens=False).ids for t in own]
+        assert flat.tolist() == [x for ids in want for x in ids] and n.tolist() == [len(ids) for ids in want]
+    assert enc.tok.model.calls.count("Ġquirkword") == enc.tok.model.calls.count("quirkword") == 1
+
+
+def test_rules_expand_with_and_without_lengths():
+    rng = np.random.default_rng(6)
+    for k in range(40):
+        ids = rng.integers(0, 1 + k % 5, 1 + 9 * k).astype(np.uint32)
+        seq, _, rules, lengths = tokens.compress(ids, np.array([len(ids)]), 6, least=2)
+        assert (tokens.expand(seq, rules, 6, lengths) == ids).all() and (tokens.expand(seq, rules, 6) == ids).all()
+        assert not len(tokens.expand(seq[:0], rules, 6))
+
+
 def test_token_symbols_are_wide_where_16_bits_run_out():
     for n_ids in (100, 65_530, 70_000):
         symbols, rules = np.concatenate([np.arange(n_ids), 80_000 + np.arange(10)]).astype(np.uint32), np.arange(20, dtype=np.uint32).reshape(-1, 2)
