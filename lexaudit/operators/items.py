@@ -30,6 +30,8 @@ SHOWN, SPAN = 3, 45
 BLOCKS = "struct<words:int,blocks:array<struct<category:string,items:array<struct<key:string,summary:string,contexts:array<string>,shown:int,total:int>>>>>"
 #: Words and pairs of words whose properties a worker remembers.
 REMEMBERED = 50_000
+#: A worker holds what it finds in a batch several times over.
+BATCH_BYTES = 1 << 19
 BLANK = re.compile(f"[{T.WS}]+")
 MARKUP = str.maketrans("", "", "*_#>")
 
@@ -401,7 +403,7 @@ def blocks(docs: DataFrame, glossary_pairs: list | None = None, check_undefined:
     and total as in `report.with_contexts`. Rows without an id have no findings.
     """
     spark = docs.sparkSession
-    K.batches(spark)
+    K.batches(spark, BATCH_BYTES)
     pairs = T.glossary_pairs() if glossary_pairs is None else glossary_pairs
     options = (_lowers(spark), tuple(map(tuple, pairs)), check_undefined, sensitivity)
     found = K.plain(docs).select("doc_id", _pass(K._classes(spark), options)("text").alias("x"))

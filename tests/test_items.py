@@ -18,7 +18,7 @@ DATA = "/root/testdata/sf0.001"
 PIECES = "email e-mail E-mail e_mail Website website WEBSITE web site userId user_id UserID colour color colours organise organize ledgers ledgerz consistant consistent Review Board review board Board Review (CAR) NLP NLP NLP log in Capital Adequacy Ratio (CAR) Council Register ΑΣ ας İz ſetup set up set-up Ᲊb ᲊb é \U0001d400x data set data set 9 _ -- . \n \n\n | | ** # References \n".split(" ")
 
 
-@pytest.mark.parametrize("name", ["markdown_report"])
+@pytest.mark.parametrize("name", ["markdown_report", "html_report"])
 def test_reports_without_a_shuffle(spark, name):
     executed = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in executed for x in ("Exchange", "InMemoryTableScan", "Join", "Sort"))
